@@ -51,9 +51,38 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_ba
 from w left join base using (doc_id) left join hits using (doc_id)
 """
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = r"""(select id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+             else [array_to_string(ws[i : i + 4], ' ') for i in range(1, len(ws) - 3)] end) s
+      from (select {key} id, list_filter(regexp_split_to_array({folded}, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from {table}))"""
+
+DECONTAMINATION = f"""
+with d as (select distinct id, s from {_SHINGLES.format(key="doc_id", table="documents", folded=_FOLDED)}),
+b as (select distinct id, s from {_SHINGLES.format(key="item_id", table="benchmark", folded=_FOLDED)}),
+n as (select id, count(*) n from b group by id)
+select d.id as doc_id, b.id as item_id, any_value(n) as n_item, count(*) as n_shared, count(*) / any_value(n)::double as containment
+from d join b on d.s = b.s join n on n.id = b.id group by d.id, b.id having 100 * count(*) >= 75 * any_value(n)
+"""
+
+WARC = """
+with rows as (select page_id, coalesce(html, '') html from pages),
+named as (select *, max(page_id) over (partition by html) last from rows)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, {digest} as payload_digest,
+       case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to
+from named
+"""
+
+
+def _base32_sha1() -> str:
+    """Base32 of the SHA-1 of html: five bits at a time of its 160."""
+    bits = "(select string_agg(lpad(bin(('0x' || substr(sha1(html), k, 2))::int), 8, '0'), '' order by k) from (select unnest(range(1, 41, 2)) k))"
+    return f"(select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || substr(b, k, 5))::int + 1, 1), '' order by k) from (select {bits} b), (select unnest(range(1, 161, 5)) k))"
+
 
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP,
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_license_scan": _license_scan(),
+    "op9_decontamination": DECONTAMINATION,
+    "op10_warc": WARC.format(digest=_base32_sha1()),
 }
