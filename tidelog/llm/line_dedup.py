@@ -42,21 +42,8 @@ def _windows(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, text without repeated passages, n_lines, n_removed.
-
-    A window is three consecutive lines, taken at each line. Of windows with the same lines, the first by
-    (doc_id, position) in all documents stays; the lines that later ones cover are removed, merged where windows
-    overlap. Lines end at a line feed and count as they are; a window of blank lines never counts.
-
-    Windows are counted with map-side sums, so a passage in a third of the rows reaches its reducer as one row a task;
-    the join that leads back to the documents is one that Spark splits where a key is hot. What a document loses is
-    gathered by document, and so is bounded by one row's text.
-
-    Null text stays null, with one empty line; texts under three lines stay. Rows with a null doc_id stay unchanged
-    and count for nothing. Rows of one doc_id that repeat each other count as one document: neither loses what the
-    other has at the same place. Other columns of docs are ignored. An empty table gives an empty result.
-    """
+def cut_rows(docs: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_removed): each row of docs as a struct, and what :func:`line_dedup` makes of its text."""
     windows = _windows(docs)
     repeated = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place")).filter("n > 1").select("a", "b", "first_place")
     later = windows.join(repeated, ["a", "b"]).filter("place > first_place")
@@ -69,16 +56,31 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         F.sort_array(F.array_except("covered", F.transform("covered", lambda x: x + 1))).alias("begins"),
         F.sort_array(F.array_except("covered", F.transform("covered", lambda x: x - 1))).alias("ends"),
     )
-    rows = docs.select("doc_id", "text", F.xxhash64(text_or_empty("text")).alias("text_hash"))
-    joined = rows.join(islands, ["doc_id", "text_hash"], "left").select("doc_id", "text", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "begins", "ends", _lines().alias("lines"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(text_or_empty("text")).alias("text_hash"))
+    joined = rows.join(islands, ["doc_id", "text_hash"], "left")
+    joined = joined.select("row", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "begins", "ends", F.split(F.coalesce("row.text", F.lit("")), "\n", -1).alias("lines"))
     segments = F.arrays_zip(
         F.concat(F.array(F.lit(0)), F.transform("ends", lambda x: x + 1)).alias("from_line"), F.concat(F.col("begins"), F.array(F.size("lines"))).alias("to_line")
     )
     cut = joined.withColumn("segments", F.when(F.col("n_removed") > 0, segments))
     kept = F.flatten(F.transform("segments", lambda s: F.slice("lines", s["from_line"] + 1, s["to_line"] - s["from_line"])))
-    return cut.select(
-        "doc_id",
-        F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"),
-        F.size("lines").alias("n_lines"),
-        "n_removed",
-    )
+    text = F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("row.text"))
+    return cut.select("row", text.alias("text"), F.size("lines").alias("n_lines"), "n_removed")
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, text without repeated passages, n_lines, n_removed.
+
+    A window is three consecutive lines, taken at each line. Of windows with the same lines, the first by
+    (doc_id, position) in all documents stays; the lines that later ones cover are removed, merged where windows
+    overlap. Lines end at a line feed and count as they are; a window of blank lines never counts.
+
+    Windows are counted with map-side sums, so a passage in a third of the rows reaches its reducer as one row a task;
+    the join that leads back to the documents is one that Spark splits where a key is hot. What a document loses is
+    gathered by document, and so is bounded by one row's text.
+
+    Null text stays null, with one empty line; texts under three lines stay. Rows with a null doc_id stay unchanged
+    and count for nothing. Rows of one doc_id that repeat each other count as one document: neither loses what the
+    other has at the same place. Other columns of docs are ignored. An empty table gives an empty result.
+    """
+    return cut_rows(docs.select("doc_id", "text")).select("row.doc_id", "text", "n_lines", "n_removed")
