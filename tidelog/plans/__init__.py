@@ -1,0 +1,12 @@
+"""The queries of the library; importing this package registers them."""
+
+from tidelog.plans import log_queries, state_queries  # noqa: F401
+from tidelog.plans.registry import RUNS, SQL
+
+
+def queries():
+    return dict(RUNS)
+
+
+def oracle_sql():
+    return dict(SQL)
