@@ -186,8 +186,8 @@ class Encoder:
             own = units(text)
             first.add(own[0])
             later.update(own[1:])
-        self._learn(list(first - self.first.keys()), self.first, "")
-        self._learn(list(later - self.later.keys()), self.later, " ")
+        self._learn([unit for unit in first if unit not in self.first], self.first, "")
+        self._learn([unit for unit in later if unit not in self.later], self.later, " ")
         out = []
         for text in texts:
             own = units(text)
@@ -207,7 +207,7 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, pattern)
 
 
-def _blocks(texts: list[str], most: int) -> Iterator[list[str]]:
+def text_blocks(texts: list[str], most: int) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters, at least one text each."""
     block: list[str] = []
     size = 0
@@ -237,7 +237,7 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         own = encoder(ranks_path, pattern)
         for batch in batches:
             done = 0
-            for block in _blocks(batch.column(1).to_pylist(), REPLAY_BYTES):
+            for block in text_blocks(batch.column(1).to_pylist(), REPLAY_BYTES):
                 ids = own.encode(block)
                 part = [batch.column(0).slice(done, len(block)), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
                 done += len(block)
@@ -254,7 +254,7 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         own = encoder(ranks_path, pattern)
         for batch in batches:
             done = 0
-            for block in _blocks(batch.column(1).to_pylist(), REPLAY_BYTES):
+            for block in text_blocks(batch.column(1).to_pylist(), REPLAY_BYTES):
                 ids = own.encode(block)
                 part = [
                     batch.column(0).slice(done, len(block)),

@@ -29,13 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.byte_bpe import CACHE_UNITS, units
+from tidelog.llm.byte_bpe import CACHE_UNITS, text_blocks, units
 from tidelog.llm.shared import new_folder, text_or_empty, written
 
 MAGIC = b"TIDEPLN1"
 CHUNK_IDS = 1 << 16
 _FOOTER = struct.Struct("<QQQQ8s")
 _LEVEL = 3
+_JOINED_UNITS = 4096
+#: Marks that end a word; an apostrophe may begin a token with letters, so it is none.
+_MARKS = ".,;:!?*#$%&|"
+#: Characters of text whose new units are gathered at a time.
+_BLOCK_CHARS = 8 << 20
 
 
 def _planes(values: np.ndarray) -> list[bytes]:
@@ -145,8 +150,12 @@ class PlaneReader:
             yield doc_id, b"".join(p.tobytes() for p in parts)
 
 
-class _UnitEncoder:
-    """Encodes texts with the tokenizers library; ids of units of text that were seen before are looked up."""
+class UnitEncoder:
+    """Encodes texts with the tokenizers library; ids of units of text that were seen before are looked up.
+
+    New units of a block of texts go to the library joined, as many calls on single ones take longer; the lengths of
+    the tokens, in bytes, lead each id back to its unit.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -154,24 +163,67 @@ class _UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        first, *later = units(text)
-        later = [f" {unit}" for unit in later]
-        if new := list({first, *later} - self.known.keys()):
-            if len(self.known) > CACHE_UNITS:
-                self.known, new = {}, list({first, *later})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[unit] = np.array(found.ids, "<u4").tobytes()
-        return self.known[first] + b"".join(map(self.known.__getitem__, later))
+        # A byte-level vocabulary writes each byte as one character.
+        self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())])
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+
+    def _learn_after_blank(self, units_after_blank: set[str]) -> None:
+        """Enters new ones of these units: those of a word and closing marks are made of the two, which never merge."""
+        made, new = [], set()
+        for unit in units_after_blank:
+            if unit not in self.later:
+                word = unit.rstrip(_MARKS)
+                if word != unit and word.isalpha():
+                    made.append((unit, word, unit[len(word) :]))
+                else:
+                    new.add(unit)
+        new |= {word for _, word, _ in made if word not in self.later}
+        self._encode_after_blank(list(new))
+        self._learn_first({marks for *_, marks in made})
+        for unit, word, marks in made:
+            self.later[unit] = self.later[word] + self.first[marks]
+
+    def _learn_first(self, found: set[str]) -> None:
+        """Enters new ones of these units, which have no blank before them."""
+        new = [unit for unit in found if unit not in self.first]
+        for unit, known in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.first[unit] = np.array(known.ids, "<u4").tobytes()
+
+    def _encode_after_blank(self, new: list[str]) -> None:
+        for at in range(0, len(new), _JOINED_UNITS):
+            part = new[at : at + _JOINED_UNITS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            unit_ends = np.cumsum([len(unit.encode()) + 1 for unit in part])
+            token_ends = np.cumsum(self.lengths[ids])
+            stops = (4 * (np.searchsorted(token_ends, unit_ends) + 1)).tolist()
+            flat = ids.tobytes()
+            if stops[-1] != len(flat) or not np.array_equal(token_ends[np.searchsorted(token_ends, unit_ends)], unit_ends):
+                raise ValueError("the tokens of joined units do not end where the units do")
+            self.later.update(zip(part, [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.first) + len(self.later) > CACHE_UNITS:
+            self.first, self.later = {}, {}
+        first: set[str] = set()
+        later: set[str] = set()
+        for text in texts:
+            own = units(text)
+            first.add(own[0])
+            later.update(own[1:])
+        self._learn_after_blank(later)
+        self._learn_first(first)
+        out = []
+        for text in texts:
+            own = units(text)
+            out.append(self.first[own[0]] + b"".join(map(self.later.__getitem__, own[1:])))
+        return out
 
 
 @functools.cache
-def _unit_encoder(path: str) -> _UnitEncoder:
-    return _UnitEncoder(path)
+def _unit_encoder(path: str) -> UnitEncoder:
+    return UnitEncoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -197,8 +249,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 store.create_dir(root, recursive=True)
                 sink = store.open_output_stream(path)
                 writer = PlaneWriter(sink)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                writer.add(doc_id, encoder.encode(text.as_py()) + end)
+            ids = iter(batch.column(0).to_pylist())
+            for block in text_blocks(batch.column(1).to_pylist(), _BLOCK_CHARS):
+                for tokens in encoder.encode(block):
+                    writer.add(next(ids), tokens + end)
         if sink is not None:
             writer.close()
             sink.close()
