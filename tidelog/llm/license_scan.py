@@ -23,7 +23,7 @@ TEMPLATES = {
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
     "Licensed under CC BY-NC 4.0": "cc-by-nc",
     "This work is licensed under the GNU General Public License, version 3": "gpl-3",
-    "This work is licensed under the GNU General Public License, version 2": "gpl-2",
+    "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2",
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",

@@ -49,14 +49,15 @@ MOST_HOPS = 8
 
 _HINTS = ("pass", "secret", "token", "api")
 _NAME_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "private", "bearer", "signature")
-_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
+# Runs are possessive and begin at the edge of a word, so that long words and lines take time in proportion to them.
+_STRING = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 _PAIR = re.compile(
-    rf"""(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*)(?P=quote)(?:\[[^\]\n]*\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*=|:=|=>|(?<![=!<>])=(?!=)|:(?!//))[ \t]*
-    (?:(?P<strings>(?:{_STRING})(?:[ \t]*\+?[ \t]*(?:{_STRING}))*)|(?P<bare>[^\s,;"'`<>(){{}}\[\]]+))""",
+    rf"""(?<![\w.\-])(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*+)(?P=quote)(?:\[[^\]\n]{{0,64}}+\])?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]]{{0,64}}+[ \t]*+=|:=|=>|(?<![=!<>])=(?!=)|:(?!//))[ \t]*+
+    (?:(?P<strings>(?:{_STRING})(?:[ \t]*+\+?[ \t]*+(?:{_STRING}))*+)|(?P<bare>[^\s,;"'`<>(){{}}\[\]]++))""",
     re.VERBOSE | re.ASCII,
 )
-_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)(?:[ \t][^<>\n]*)?>(?P<bare>[^<>\n]+)</(?P=name)>", re.ASCII)
-_FLAG = re.compile(r"(?<!\S)--(?P<name>[A-Za-z][\w\-]*)[ \t]+(?:(?P<strings>" + _STRING + r")|(?P<bare>[^\s\-][^\s]*))", re.ASCII)
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)(?:[ \t][^<>\n]*+)?>(?P<bare>[^<>\n]++)</(?P=name)>", re.ASCII)
+_FLAG = re.compile(r"(?<!\S)--(?P<name>[A-Za-z][\w\-]*+)[ \t]++(?:(?P<strings>" + _STRING + r")|(?P<bare>[^\s\-][^\s]*+))", re.ASCII)
 _ONE_STRING = re.compile(_STRING)
 _REFERENCE = re.compile(r"\$?\{?(?:process\.env\.|os\.environ\.|env\.|self\.|this\.)?(?P<name>[A-Za-z_]\w*)\}?", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
