@@ -24,6 +24,9 @@ PERCENT = 75
 SHARED = 27
 #: Up to this size of a set, both sets of a link are whole in their sketches, and shares are exact.
 WHOLE = SKETCH * PERCENT // 100
+#: Documents drawn from its lists that a document is compared with first. They only save comparisons: pairs that the
+#: links found so leave apart are all compared.
+HEADS = 8
 
 
 @cache
@@ -127,6 +130,35 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFr
     return written(spark, ready.mapInArrow(compare, "a long, b long"), "near-links")
 
 
+def _first_pairs(listed: DataFrame) -> DataFrame:
+    """(a, b): each document with the smallest one in its lists, and with up to HEADS of those that the lists have drawn."""
+    # A document is in as many lists as its sketch has values at most.
+    met = listed.groupBy("id").agg(F.min("head").alias("head"), F.collect_set("drawn").alias("drawn"))
+    drawn = F.array_sort(F.transform("drawn", lambda x: F.struct(F.xxhash64(x, F.col("id")).alias("h"), x.alias("id"))))
+    some = F.concat(F.array("head"), F.transform(F.slice(drawn, 1, HEADS), lambda x: x["id"]))
+    pairs = met.select("id", F.explode(F.array_distinct(some)).alias("other")).filter("id <> other")
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of lists whose documents are in more than one component."""
+    spark = rows.sparkSession
+    mixed = rows.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("value")
+    return written(spark, rows.join(written(spark, mixed, "near-mixed"), "value"), "near-open")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents of different components that share a list, each in the first one they share."""
+    own = rows.groupBy("id").agg(F.collect_set("value").alias("lists"), F.collect_set(F.when(F.col("first"), F.col("value"))).alias("firsts"))
+    fat = written(rows.sparkSession, rows.join(own, "id"), "near-apart")
+    x = fat.filter("first").select("value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "part", "firsts")))
+    y = fat.select("value", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "part", "lists")))
+    may = (F.col("part_x") != F.col("part_y")) & ((F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+    may &= F.col("n_x") * 100 >= F.col("n_y") * PERCENT
+    once = F.array_min(F.array_intersect("firsts_x", "lists_y")) == F.col("value")
+    return x.join(y, "value").filter(may & once).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -137,10 +169,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     1. One pass over the texts gives each document the size and a 128-bit key of its whole set and the 64 smallest
        values of one hash function. Documents of one key are one class; only a class's smallest doc_id goes on.
     2. Inverted lists of the retained values, cut by the prefix filter (:func:`_postings`).
-    3. Each document is compared with the smallest one in its lists; components of these links.
-    4. Pairs that share a list but no component are compared too: all that may be linked is either compared or already
-       in one component, so no link between components is lost, and a group of near copies costs one comparison a
-       member, not one a pair.
+    3. Each document is compared with the smallest one in its lists and with a few drawn ones, one drawn by each list;
+       components of these links. A group of near copies, whose members are not all linked with each other, comes
+       together at a few comparisons a member, not at one a pair.
+    4. Pairs that still share a list but no component are all compared (:func:`_apart`): all that may be linked is
+       either compared or already in one component, so no link between components is lost.
     5. Sketches of the union estimate the similarity; pairs that may reach it are counted on their full sets.
 
     Shingles are compared by 64-bit hashes. Null and empty texts have no shingles and are linked with nothing. Rows of
@@ -156,24 +189,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sketches = written(spark, own.join(classes, (F.col("own_key") == F.col("set_key")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "sketch"), "near-classes")
 
     postings = written(spark, _postings(sketches), "near-postings")
-    lists = postings.groupBy("value").agg(F.min(F.when(F.col("first"), F.col("id"))).alias("head"), F.min("id").alias("low"), F.max("id").alias("high"))
-    lists = written(spark, lists.filter("head is not null and low < high").select("value", "head"), "near-lists")
+    drawn = F.min_by("id", F.xxhash64("id", "value")).alias("drawn")
+    lists = postings.groupBy("value").agg(F.min(F.when(F.col("first"), F.col("id"))).alias("head"), drawn, F.min("id").alias("low"), F.max("id").alias("high"))
+    lists = written(spark, lists.filter("head is not null and low < high").select("value", "head", "drawn"), "near-lists")
     listed = written(spark, postings.join(lists, "value"), "near-listed")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty("text").alias("text")).join(listed.select("id").distinct(), "id", "left_semi")
     texts = written(spark, texts, "near-texts")
 
-    first = listed.filter("head <> id").groupBy("id").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    links = _verified(first, sketches, texts)
+    links = _verified(_first_pairs(listed), sketches, texts)
     found = written(spark, connected_components(links), "near-components")
 
-    named = listed.join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", "first", F.coalesce("component", "id").alias("part"))
-    named = written(spark, named, "near-named")
-    mixed = named.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("value")
-    open_lists = written(spark, named.join(written(spark, mixed, "near-mixed"), "value"), "near-open")
-    x, y = (open_lists.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "first", "part"))) for s in "xy")
-    may = x.join(y, "value").filter("first_x and part_x <> part_y and (n_x < n_y or n_x = n_y and id_x < id_y)").filter(F.col("n_x") * 100 >= F.col("n_y") * PERCENT)
-    more = _verified(may.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), sketches, texts)
-    found = written(spark, connected_components(links.union(more)), "near-components")
+    rows = listed.join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", "first", F.coalesce("component", "id").alias("part"))
+    rows = _open(written(spark, rows, "near-named"))
+    links = links.union(_verified(_apart(rows), sketches, texts))
+    found = written(spark, connected_components(links), "near-components")
 
     result = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     result = result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
