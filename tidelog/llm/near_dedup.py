@@ -34,8 +34,8 @@ def _shingler() -> Shingler:
     return Shingler()
 
 
-def document_sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, set_key, sketch): size of the shingle set, 128-bit key of the whole set, smallest hashes in order.
+def document_sketches(docs: DataFrame, most: int | None = SKETCH) -> DataFrame:
+    """(doc_id, n, set_key, sketch): size of the shingle set, 128-bit key of the whole set, the ``most`` smallest hashes in order.
 
     Documents without words have keys of their own, so they equal nothing.
     """
@@ -50,7 +50,7 @@ def document_sketches(docs: DataFrame) -> DataFrame:
                     own = np.unique(places.view(np.int64))
                     sizes.append(len(own))
                     keys.append(hashlib.md5(own.tobytes() if len(own) else f"no words in {doc_id}".encode()).digest())
-                    sketches.append(own[:SKETCH])
+                    sketches.append(own[:most])
                 part = batch.column(0).slice(done, len(block))
                 done += len(block)
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sketches)]).astype(np.int32), np.concatenate(sketches))
@@ -60,14 +60,14 @@ def document_sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id long, n long, set_key binary, sketch array<long>")
 
 
-def _least_shared(n: Column, of_larger: bool) -> Column:
-    """Values that a sketch of a set of n shares with that of any linked set, or of any that is not smaller."""
+def _least_shared(n: Column, of_larger: bool, whole: bool) -> Column:
+    """Values that a sketch (or a whole set) of n shares with that of any linked set, or of any that is not smaller."""
     exact = F.ceil(n * PERCENT / F.lit(100)) if of_larger else F.ceil(n * (2 * PERCENT) / F.lit(100 + PERCENT))
-    return F.when(n <= WHOLE, exact).otherwise(SHARED)
+    return exact if whole else F.when(n <= WHOLE, exact).otherwise(SHARED)
 
 
-def _postings(sketches: DataFrame) -> DataFrame:
-    """(value, id, n, first): the part of each sketch that a linked document must also have, in lists of two or more.
+def _postings(sketches: DataFrame, whole: bool = False) -> DataFrame:
+    """(value, id, n, first): the part of each sketch (of each set, if they are whole) that a linked document must also have, in lists of two or more.
 
     The values of a sketch are ordered by the number of documents with them, rarest first; a linked document shares
     at least s of them, so it has one of the first size - s + 1 (prefix filter). Values of one document only come
@@ -79,8 +79,8 @@ def _postings(sketches: DataFrame) -> DataFrame:
     shared = sketches.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = values.join(shared, "value").groupBy("id", "n", "size").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("own"))
     alone = F.col("size") - F.size("own")
-    probe = F.col("size") - _least_shared(F.col("n"), True) + 1 - alone
-    index = F.col("size") - _least_shared(F.col("n"), False) + 1 - alone
+    probe = F.col("size") - _least_shared(F.col("n"), True, whole) + 1 - alone
+    index = F.col("size") - _least_shared(F.col("n"), False, whole) + 1 - alone
     # A set of up to WHOLE words is whole in its sketch; a larger one is cut to SKETCH values.
     prefix = own.select("id", "n", probe.cast("int").alias("probe"), index.cast("int").alias("index"), "own").filter("probe > 0")
     listed = prefix.select("id", "n", "index", F.posexplode(F.slice("own", F.lit(1), F.col("probe"))).alias("at", "x"))
@@ -147,16 +147,21 @@ def _open(rows: DataFrame) -> DataFrame:
     return written(spark, rows.join(written(spark, mixed, "near-mixed"), "value"), "near-open")
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents of different components that share a list, each in the first one they share."""
-    own = rows.groupBy("id").agg(F.collect_set("value").alias("lists"), F.collect_set(F.when(F.col("first"), F.col("value"))).alias("firsts"))
-    fat = written(rows.sparkSession, rows.join(own, "id"), "near-apart")
-    x = fat.filter("first").select("value", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "part", "firsts")))
-    y = fat.select("value", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "part", "lists")))
-    may = (F.col("part_x") != F.col("part_y")) & ((F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+def _apart(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents of different components that can still be linked, of those in rows.
+
+    Whole sets of these documents take the place of their sketches: inverted lists of all their values, cut by the
+    prefix filter for the exact bound. A document with too many values that no other one has is in none of them.
+    """
+    spark = rows.sparkSession
+    parts = written(spark, rows.select("id", "part").distinct(), "near-parts")
+    left = texts.join(parts, "id", "left_semi").select(F.col("id").alias("doc_id"), "text")
+    sets = written(spark, document_sketches(left, None).select(F.col("doc_id").alias("id"), "n", "sketch"), "near-sets")
+    listed = _open(written(spark, _postings(sets, True).join(parts, "id"), "near-named"))
+    x, y = (listed.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "first", "part"))) for s in "xy")
+    may = F.col("first_x") & (F.col("part_x") != F.col("part_y")) & ((F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
     may &= F.col("n_x") * 100 >= F.col("n_y") * PERCENT
-    once = F.array_min(F.array_intersect("firsts_x", "lists_y")) == F.col("value")
-    return x.join(y, "value").filter(may & once).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+    return x.join(y, "value").filter(may).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -172,8 +177,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     3. Each document is compared with the smallest one in its lists and with a few drawn ones, one drawn by each list;
        components of these links. A group of near copies, whose members are not all linked with each other, comes
        together at a few comparisons a member, not at one a pair.
-    4. Pairs that still share a list but no component are all compared (:func:`_apart`): all that may be linked is
-       either compared or already in one component, so no link between components is lost.
+    4. Documents that still share a list with another component get lists of their whole sets, and all pairs that
+       share one of these but no component are compared (:func:`_apart`): all that may be linked is either compared or
+       already in one component, so no link between components is lost.
     5. Sketches of the union estimate the similarity; pairs that may reach it are counted on their full sets.
 
     Shingles are compared by 64-bit hashes. Null and empty texts have no shingles and are linked with nothing. Rows of
@@ -201,7 +207,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     rows = listed.join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", "first", F.coalesce("component", "id").alias("part"))
     rows = _open(written(spark, rows, "near-named"))
-    links = links.union(_verified(_apart(rows), sketches, texts))
+    links = links.union(_verified(_apart(rows, texts), sketches, texts))
     found = written(spark, connected_components(links), "near-components")
 
     result = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
