@@ -121,6 +121,59 @@ def test_licenses_empty_table_and_null_id(make):
     assert [r["labels"] for r in license_scan(make([(None, LICENSES[9])])).collect()] == ["gpl-3"]
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "gpl-2": """# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.""",
+    "mpl-2": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above""",
+}
+
+
+def windows_by_hand(text, containment=0.8):
+    words, more, best = [w for w in re.split(NOT_WORD, text.lower()) if w], set(), 0.0
+    for template, label in TEMPLATES.items():
+        wanted, width = set(_template_words(template)), 2 * len([w for w in re.split(NOT_WORD, template.lower()) if w])
+        most = max(len(wanted & set(words[k : k + width])) for k in range(max(1, len(words))))
+        if most >= _needed(len(wanted), containment):
+            more.add(label)
+            best = max(best, most / len(wanted))
+    return ",".join(sorted(more)), best
+
+
+def test_wrapped_and_scattered_licenses(make, words):
+    """Notices in their usual form, over several lines, count; words that are scattered over a long line don't."""
+    texts = {label: " ".join(words(300)) + "\n" + notice + "\n" + " ".join(words(300)) for label, notice in WRAPPED.items()}
+    texts[""] = " ".join(w for t in TEMPLATES for x in _template_words(t) for w in (x, *words(40)))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(make(list(enumerate(texts.values())))).collect()}
+    assert [found[k] for k in range(len(texts))] == [(label, 1.0 if label else 0.0) for label in texts]
+
+
+def test_windows_against_brute_force(make):
+    rng = random.Random(11)
+    sources = [[w for w in re.split(NOT_WORD, t.lower()) if w] for t in TEMPLATES]
+    texts = []
+    for _ in range(120):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            own = [w for w in rng.choice(sources) if rng.random() > 0.12]
+            gap = rng.choice((0, 0.3, 0.9, 1.4))
+            out += [x for w in own for x in (w, *["x"] * int(gap + rng.random()))] + ["y"] * rng.randint(0, 40)
+        texts.append("".join(w + rng.choice((" ", " ", "\n")) for w in out))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(make(texts)).filter("n_base = 0").collect()}
+    assert len(found) > 50 and len({x for x, _ in found.values()}) > 10
+    for k, own in found.items():
+        assert own == pytest.approx(windows_by_hand(texts[k])), texts[k]
+
+
 # Secret scan
 
 

@@ -29,8 +29,10 @@ TEMPLATES = {
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "This is free and unencumbered software released into the public domain": "unlicense",
 }
-#: Share of a template's distinct words that a text block must have.
+#: Share of a template's distinct words that a window of the text must have.
 CONTAINMENT = 0.8
+#: Words in a window, as a multiple of the template's: marks of comments and changes of the wording may stand between.
+WINDOW_LENGTHS = 2
 #: What is not a word, in Java's pattern syntax; words are what lies between.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,9 +51,17 @@ def _blanks(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _all_words(template: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in template.lower()).split()
+
+
 def _template_words(template: str) -> list[str]:
     """The distinct words of an ASCII template, sorted."""
-    return sorted(set("".join(c if c.isalnum() else " " for c in template.lower()).split()))
+    return sorted(set(_all_words(template)))
+
+
+def _width(template: str) -> int:
+    return WINDOW_LENGTHS * len(_all_words(template))
 
 
 def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -64,43 +74,60 @@ def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {word: rank for rank, word in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
+def _prefix_size(size: int, containment: float) -> int:
+    """How many of a template's rarest words a window with enough of it can't be without all of."""
+    return size - _needed(size, containment) + 1
+
+
 def _prefix_index(spark: SparkSession, templates: dict[str, str], order: dict[str, int], containment: float) -> DataFrame:
-    """One row for each rank in a template's prefix: a block with enough of the template has one of them."""
+    """One row for each word in a template's prefix: a window with enough of the template has one of them."""
     rows = []
-    for number, (template, label) in enumerate(templates.items()):
-        ranks = sorted(order[w] for w in _template_words(template))
-        need = _needed(len(ranks), containment)
-        rows += [(rank, place, number, label, need, ranks) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
-    return spark.createDataFrame(rows, "rank int, place int, template int, label string, need int, ranks array<int>")
+    for template, label in templates.items():
+        words = sorted(_template_words(template), key=order.get)
+        prefix = words[: _prefix_size(len(words), containment)]
+        rows += [(word, label, _needed(len(words), containment), _width(template), words) for word in prefix]
+    return spark.createDataFrame(rows, "word string, label string, need int, width int, words array<string>")
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, text_hash, line, label, containment): every line of docs that has that share of a template's words.
-
-    A set-similarity join of lines and templates. Words are ordered by their document frequency in the whole corpus,
-    rarest first. A line that has ``need`` of a template's words has one of the template's first
-    ``size - need + 1`` (prefix filter); it has at least ``need`` words of the vocabulary (length filter), and the
-    words that can still follow the common one on both sides, with those before it, reach ``need`` (positional filter).
-    What passes is counted in full. Templates are constants of this module or a parameter, so their side is broadcast.
+    """(doc_id, text_hash, label, containment): labels of docs by windows that have that share of a template's words.
+
+    A set-similarity join of word windows and templates. A window is as many consecutive words as WINDOW_LENGTHS
+    lengths of the template, taken at each word of the whole text; ends of lines are like blanks. Words are ordered by
+    their document frequency in the whole corpus, rarest first. A window that has ``need`` of a template's words has
+    one of the template's first ``size - need + 1`` (prefix filter), so only the words around places of those are
+    looked at: all windows with such a place together have at least ``need`` words of the template (length filter), and
+    the best of them begins at a word of the template at or before the place (positional filter). What passes is counted
+    in full, and a text's best window counts. Templates are constants of this module or a parameter, so their side is
+    broadcast.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in _template_words(t)})
-    order = token_order(docs, vocabulary)
-    index = _prefix_index(spark, templates, order, containment)
-    prefix_words = sorted({w for t in templates for w in sorted(_template_words(t), key=order.get)[: len(_template_words(t)) - _needed(len(_template_words(t)), containment) + 1]})
-    ranks = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, order[w])))
+    index = _prefix_index(spark, templates, token_order(docs, vocabulary), containment)
+    prefix_words = sorted(r["word"] for r in index.select("word").distinct().collect())
+    widest = max(map(_width, templates))
     # Blanks bound every word, so that a document without any prefix word is passed over by one pattern.
     any_prefix = f" (?:{'|'.join(prefix_words)}) "
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).filter(F.concat(F.lit(" "), _spaced(F.col("text")), F.lit(" ")).rlike(any_prefix))
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-    known = F.array_intersect(F.split(_spaced(F.col("block")), " "), F.lit(vocabulary))
-    blocks = lines.select("doc_id", "text_hash", "line", F.sort_array(F.transform(known, lambda w: F.element_at(ranks, w))).alias("found"))
-    blocks = blocks.filter(F.size("found") >= min(_needed(len(_template_words(t)), containment) for t in templates))
-    tokens = blocks.select("doc_id", "text_hash", "line", "found", F.posexplode("found").alias("at", "rank"))
-    reach = F.least("at", "place") + 1 + F.least(F.size("found") - F.col("at"), F.size("ranks") - F.col("place")) - 1
-    candidates = tokens.join(F.broadcast(index), "rank").filter((F.size("found") >= F.col("need")) & (reach >= F.col("need")))
-    overlap = F.size(F.array_intersect("found", "ranks"))
-    return candidates.filter(overlap >= F.col("need")).select("doc_id", "text_hash", "line", "label", (overlap / F.size("ranks")).alias("containment")).distinct()
+    texts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_spaced(F.col("text")), " ").alias("all"))
+    places = F.array_compact(F.transform("all", lambda w, i: F.when(w.isin(prefix_words), i)))
+    # The words before a place, and those from it on, as far as windows reach.
+    around = F.transform(
+        places,
+        lambda p: F.struct(
+            F.slice("all", F.greatest(p - (widest - 1), F.lit(0)) + 1, F.least(p, F.lit(widest - 1))).alias("before"),
+            F.slice("all", p + 1, widest).alias("after"),
+        ),
+    )
+    found = texts.select("doc_id", "text_hash", F.explode(around).alias("a")).select("doc_id", "text_hash", "a.before", "a.after", F.element_at("a.after", 1).alias("word"))
+    near = found.join(F.broadcast(index), "word")
+    n_before = F.least(F.size("before"), F.col("width") - 1)
+    near = near.withColumn("n_before", n_before).withColumn("near", F.concat(F.slice("before", F.size("before") - n_before + 1, n_before), F.slice("after", F.lit(1), F.col("width"))))
+    candidates = near.filter(F.size(F.array_intersect("near", "words")) >= F.col("need"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n_before")), lambda s: F.array_contains("words", F.get("near", s)))
+    overlap = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s + 1, F.col("width")), "words"))))
+    matches = candidates.select("doc_id", "text_hash", "label", "need", overlap.alias("overlap"), F.size("words").alias("size")).filter("overlap >= need")
+    return matches.select("doc_id", "text_hash", "label", (F.col("overlap") / F.col("size")).alias("containment")).distinct()
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
