@@ -228,6 +228,25 @@ def test_literals():
     assert literals("The key = to all; see https://x.org/token: done") == []
 
 
+def test_literals_of_names_given_more_than_once_and_over_many_names():
+    assert literals('x = ""\nx = "Zx81qLmn0Pq"\npassword = x') == ["Zx81qLmn0Pq"]
+    assert literals('a.x = "color"\nb.x = "Zx81qLmn0Pq"\npassword = x') == ["Zx81qLmn0Pq"]
+    assert literals('if dev:\n  x = "Zx81qLmn0Pq"\nelse:\n  x = "Yw72pKlm9Oq"\npassword = x') == ["Zx81qLmn0Pq", "Yw72pKlm9Oq"]
+    for n in (7, 8, 9, 3000):
+        chain = "".join(f"n{k} = n{k + 1}\n" for k in range(n))
+        assert literals(f'password = n0\n{chain}n{n} = "Zx81qLmn0Pq"') == ["Zx81qLmn0Pq"]
+    assert literals('password = a\na = b\nb = a\nb = "Zx81qLmn0Pq"') == ["Zx81qLmn0Pq"]
+    assert literals("password = Zx81qLmn0Pq\nZx81qLmn0Pq = password") == ["Zx81qLmn0Pq"]
+    # The heavier name counts, wherever it stands.
+    spans = find_secrets('bearer_x = c\npassword = c\nc = "Zx81qLmn0Pq"')
+    assert [s.name for s in spans if s.kind == "literal"] == ["password"]
+
+
+def test_many_definitions_take_time_in_proportion():
+    text = "".join(f'v = "{k}"\npassword = v\n' for k in range(20_000)) + 'v = "Zx81qLmn0Pq"'
+    assert literals(text) == ["Zx81qLmn0Pq"]
+
+
 # Decontamination
 
 

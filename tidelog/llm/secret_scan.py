@@ -44,8 +44,6 @@ NAME_WORDS = {
 PLACEHOLDERS = ("changeme", "example", "placeholder", "redacted", "your", "dummy", "xxxx", "****", "....")
 LEAST_SCORE = 0.5
 LEAST_LITERAL = 8
-#: How often a constant may be a name for another one.
-MOST_HOPS = 8
 
 _HINTS = ("pass", "secret", "token", "api")
 _NAME_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "private", "bearer", "signature")
@@ -117,25 +115,52 @@ def pairs(text: str) -> list[Pair]:
     return found
 
 
+def _references(own: list[Pair]) -> tuple[dict[str, list[int]], list[str | None]]:
+    """The pairs that define each name, and for each pair the name that it holds; none where that leads to no literal."""
+    defined: dict[str, list[int]] = {}
+    for k, pair in enumerate(own):
+        defined.setdefault(pair.name.rpartition(".")[2], []).append(k)
+    held: list[str | None] = []
+    users: dict[str, list[int]] = {}
+    for k, pair in enumerate(own):
+        named = _REFERENCE.fullmatch(pair.literal) if pair.bare else None
+        held.append(named["name"] if named and named["name"] in defined else None)
+        users.setdefault(held[-1], []).append(k)
+    # From the literals back along the names; names that lead only to each other are not reached.
+    ends, known = users.pop(None, []), set()
+    while ends:
+        name = own[ends.pop()].name.rpartition(".")[2]
+        if name not in known:
+            known.add(name)
+            ends += users.get(name, [])
+    return defined, [name if name in known else None for name in held]
+
+
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach LEAST_SCORE by the name they are given to, or that a name so given leads to."""
+    """Literals that reach LEAST_SCORE by the name they are given to, or that a name so given leads to.
+
+    A name leads to all literals that it is given in the text, over any number of other names.
+    """
     own = pairs(text)
-    constants: dict[str, Pair] = {}
-    for pair in own:
-        constants.setdefault(pair.name.rpartition(".")[2], pair)
+    defined, held = _references(own)
+    weights = [name_score(pair.name) for pair in own]
     best: dict[tuple[int, int], Span] = {}
-    for pair in own:
-        weight, at = name_score(pair.name), pair
-        for _ in range(MOST_HOPS if weight else 0):
-            named = _REFERENCE.fullmatch(at.literal) if at.bare else None
-            following = constants.get(named["name"]) if named else None
-            if following is None or following is at:
-                break
-            at = following
-        score = weight * literal_score(at.literal)
-        key = (at.start, at.stop)
-        if score >= LEAST_SCORE and (key not in best or best[key].score < score):
-            best[key] = Span("literal", at.start, at.stop, pair.name, score)
+    # From the heaviest name on, so that what is reached a second time, a pair or a name, needs no second look.
+    seen: set[int] = set()
+    for source in sorted((k for k, weight in enumerate(weights) if weight), key=lambda k: -weights[k]):
+        todo = [source]
+        while todo:
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            if held[at] is not None:
+                todo += defined.pop(held[at], [])
+                continue
+            pair = own[at]
+            score, key = weights[source] * literal_score(pair.literal), (pair.start, pair.stop)
+            if score >= LEAST_SCORE and (key not in best or best[key].score < score):
+                best[key] = Span("literal", *key, own[source].name, score)
     return list(best.values())
 
 
@@ -158,7 +183,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Spans of the kinds assign, access and hex are the leftmost matches of the fixed patterns that don't overlap others
     of their kind. A literal's span is one that the lexer found: the text is read as pairs of a name and a literal,
-    strings that are joined count as one, names that stand for constants of the same text lead on to their literals,
+    strings that are joined count as one, names that stand for constants of the same text lead on to all their literals,
     and the literal's score is that of the name times that of its own look. Texts are scanned whole, each on its own,
     without a shuffle. Null text counts as empty and has no spans. Row order, repeated rows and null ids don't matter.
     Other columns of docs are ignored.
