@@ -141,6 +141,21 @@ def test_token_files_of_odd_rows(make, spark):
     assert read_token_files(spark, write_token_files(make([]), TOKENIZER, 2, folder), folder).count() == 0
 
 
+def test_added_tokens_in_texts_keep_their_ids(make):
+    """Against the library as it is, without encode_special_tokens."""
+    own = Tokenizer.from_file(TOKENIZER)
+    texts = [*TEXTS, *(noise(n) for n in range(1, 200, 7)), "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y\n<|endoftext", "a b <|endoftext| > c"]
+    ids = [own.encode(text, add_special_tokens=False).ids for text in texts]
+    assert ids[-4] == [64, 220, 50256, 275]
+    assert [np.frombuffer(found, "<u4").tolist() for found in UnitEncoder(TOKENIZER, added_tokens=True).encode(texts)] == ids
+    found = sorted(token_file_digest(make(texts), TOKENIZER, 2).collect(), key=lambda r: r["doc_id"])
+    start = 0
+    for k, (row, wanted) in enumerate(zip(found, ids, strict=True)):
+        whole = np.array([*wanted, 2], "<u4")
+        assert tuple(row) == (k, start, len(whole), zlib.crc32(whole.tobytes())), texts[k]
+        start += len(whole)
+
+
 # WARC
 
 

@@ -155,13 +155,18 @@ class UnitEncoder:
 
     New units of a block of texts go to the library joined, as many calls on single ones take longer; the lengths of
     the tokens, in bytes, lead each id back to its unit.
+
+    With ``added_tokens``, as the library has it by itself, a text that holds one of the tokenizer's added tokens goes
+    to the library whole, so that the token keeps its own id; else it is text as any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        # Units hold no added token, but joined ones might by chance.
         self.tokenizer.encode_special_tokens = True
         # A byte-level vocabulary writes each byte as one character.
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())])
@@ -202,28 +207,41 @@ class UnitEncoder:
                 raise ValueError("the tokens of joined units do not end where the units do")
             self.later.update(zip(part, [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
 
+    def _encode_whole(self, text: str) -> bytes:
+        # A second tokenizer would take as much memory again.
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.first) + len(self.later) > CACHE_UNITS:
             self.first, self.later = {}, {}
+        whole = {k for k, text in enumerate(texts) if any(token in text for token in self.added)}
         first: set[str] = set()
         later: set[str] = set()
-        for text in texts:
-            own = units(text)
-            first.add(own[0])
-            later.update(own[1:])
+        for k, text in enumerate(texts):
+            if k not in whole:
+                own = units(text)
+                first.add(own[0])
+                later.update(own[1:])
         self._learn_after_blank(later)
         self._learn_first(first)
         out = []
-        for text in texts:
-            own = units(text)
-            out.append(self.first[own[0]] + b"".join(map(self.later.__getitem__, own[1:])))
+        for k, text in enumerate(texts):
+            if k in whole:
+                out.append(self._encode_whole(text))
+            else:
+                own = units(text)
+                out.append(self.first[own[0]] + b"".join(map(self.later.__getitem__, own[1:])))
         return out
 
 
 @functools.cache
 def _unit_encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+    return UnitEncoder(path, added_tokens=True)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -233,7 +251,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     runs again writes another file, and only what the tasks that count have returned is in the result: one row a file,
     (shard, path, n_docs, n_ids, start), where start is the number of ids in the shards before.
 
-    Null text counts as empty and gives the end id alone. Null doc_ids come first; rows of one doc_id are in the order
+    Ids are the library's with ``add_special_tokens=False`` and all else as it is: an added token that stands in a text has
+    its own id. Null text counts as empty and gives the end id alone. Null doc_ids come first; rows of one doc_id are in the order
     of their texts. Other columns of docs are ignored. An empty table gives no files.
     """
     spark = docs.sparkSession
