@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,59 @@ def test_near(make, words):
     assert found == components_by_hand(pairs)
 
 
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: 98, 98: 97})
+    return word
+
+
+def test_near_words_that_a_polynomial_cannot_tell_apart(make):
+    word = thue_morse(11)
+    other = word.translate({97: 98, 98: 97})
+    pairs = [(1, word), (2, other), (3, f"{word} b c d e {other} b c d e"), (4, f"{word} b c d e"), (5, f"{other} b c d e")]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(make(pairs)).collect()}
+    assert found == components_by_hand(pairs)
+
+
+def test_shared_shingles_are_counted_by_words():
+    shingler = Shingler()
+    block = shingler.block([b"a b c d e f g", b" A  b c\td e x f g ", b"q r s t u"])
+    block.rolled[:] = 7  # all hashes collide
+    assert block.shared(0, 1) == (3, 4, 1)
+    assert block.shared(0, 2) == (3, 1, 0)
+    assert Shingler().block([b"a b c d e f g", b" A  b c\td e x f g "]).shared(0, 1) == (3, 4, 1)
+    assert block.words(1) == b"a b c d e x f g "
+
+
+def test_near_large_group_without_a_centre(make, words):
+    """Near copies of a text that is not there, some near each other and most not."""
+    rng = random.Random(3)
+    centre, docs = words(150), []
+    for _ in range(300):
+        own = list(centre)
+        for w in words(rng.randint(1, 7)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 2)] = [w]
+        docs.append(" ".join(own))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(make(docs)).collect()}
+    assert found == components_by_hand(list(enumerate(docs)))
+
+
+def test_near_very_long_texts(make, words):
+    long = words(450_000)
+    docs = [" ".join(long), " ".join(long[9:]), " ".join(words(20) + long[60_000:]), " ".join(long[:300_000])]
+    assert len(docs[0]) > near.BLOCK_BYTES
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup(make(docs)).collect()}
+    assert found == components_by_hand(list(enumerate(docs)))
+
+
+def test_near_rows_of_one_id_join_their_links(make):
+    one, other = "a b c d e f g h", "p q r s t u v w"
+    found = near_dedup(make([(1, one), (5, one), (5, other), (9, other), (7, None)])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1)]
+
+
 def test_near_null_and_repeated_ids(make):
     text = "a b c d e f g h"
     found = near_dedup(make([(None, text), (4, text), (2, text), (2, text), (None, None)])).collect()

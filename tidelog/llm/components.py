@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import written
+from tidelog.llm.shared import Scratch, written
 
 
-def _lowest(links: DataFrame) -> DataFrame:
+def _lowest(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, low): the smallest neighbour of each u; a table of its own, so that a hot u can be split in the join."""
-    return written(links.sparkSession, links.groupBy("u").agg(F.min("v").alias("low")), "component-lows")
+    return scratch.written(links.groupBy("u").agg(F.min("v").alias("low")), "lows")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_lowest(both), "u").filter("v > u")
+    joined = both.join(_lowest(both, scratch), "u").filter("v > u")
     return joined.select(F.col("v").alias("u"), F.least("u", "low").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    joined = links.join(_lowest(links), "u")
+def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
+    joined = links.join(_lowest(links, scratch), "u")
     return joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(joined.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
 
 
@@ -30,16 +30,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps take turns until the links don't change (Kiveris et al., "Connected Components in
     MapReduce and Beyond"); then each node that isn't the smallest links to the smallest. Each step is two joins' worth
     of shuffles over the links and never gathers the neighbours of a node. Nodes are whole numbers; null ends and links
-    from a node to itself are ignored. Without links the result is empty.
+    from a node to itself are ignored. Without links the result is empty. The result is a table; those of the steps are
+    removed.
     """
     spark = links.sparkSession
+    scratch = Scratch(spark, "components")
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = written(spark, pairs, "component-links"), None
+    now, before = scratch.written(pairs, "links"), None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark[0] == 0 or mark == before:
             break
         before = mark
-        large = written(spark, _large_star(now), "component-links")
-        now = written(spark, _small_star(large), "component-links")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        large = scratch.written(_large_star(now, scratch), "links")
+        now = scratch.written(_small_star(large, scratch), "links")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    result = written(spark, stars, "components")
+    scratch.close()
+    return result

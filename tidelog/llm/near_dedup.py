@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import connected_components
-from tidelog.llm.shared import text_or_empty, written
+from tidelog.llm.shared import Scratch, text_or_empty
 from tidelog.llm.shingles import BLOCK_BYTES, Shingler, blocks
 
 #: Smallest hash values kept of a document.
@@ -35,29 +35,28 @@ def _shingler() -> Shingler:
 
 
 def document_sketches(docs: DataFrame, most: int | None = SKETCH) -> DataFrame:
-    """(doc_id, n, set_key, sketch): size of the shingle set, 128-bit key of the whole set, the ``most`` smallest hashes in order.
+    """(doc_id, n, key, sketch): size of the shingle set, SHA-256 of the words in order, the ``most`` smallest hashes in order.
 
-    Documents without words have keys of their own, so they equal nothing.
+    Texts of fewer words than a shingle has are linked with texts of the same words only, so their sketches are empty.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             done = 0
-            for block in blocks(batch.column(1).to_pylist()):
-                sizes, keys, sketches = [], [], []
-                for doc_id, places in zip(ids[done : done + len(block)], _shingler().hashes(block), strict=True):
-                    own = np.unique(places.view(np.int64))
+            for texts in blocks(batch.column(1)):
+                block, sizes, sketches = _shingler().block(texts), [], []
+                for k in range(len(block)):
+                    own = np.unique(block.places(k).view(np.int64))
                     sizes.append(len(own))
-                    keys.append(hashlib.md5(own.tobytes() if len(own) else f"no words in {doc_id}".encode()).digest())
-                    sketches.append(own[:most])
+                    sketches.append(own[:most] if block.lasts[k] - block.firsts[k] >= block.size else own[:0])
+                keys = [hashlib.sha256(block.words(k)).digest() for k in range(len(block))]
                 part = batch.column(0).slice(done, len(block))
                 done += len(block)
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sketches)]).astype(np.int32), np.concatenate(sketches))
-                yield pa.RecordBatch.from_arrays([part, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n", "key", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n long, set_key binary, sketch array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, n long, key binary, sketch array<long>")
 
 
 def _least_shared(n: Column, of_larger: bool, whole: bool) -> Column:
@@ -67,24 +66,25 @@ def _least_shared(n: Column, of_larger: bool, whole: bool) -> Column:
 
 
 def _postings(sketches: DataFrame, whole: bool = False) -> DataFrame:
-    """(value, id, n, first): the part of each sketch (of each set, if they are whole) that a linked document must also have, in lists of two or more.
+    """(value, id, n, at, first): the part of each sketch (of each set, if they are whole) that a linked document must also have, in lists of two or more.
 
     The values of a sketch are ordered by the number of documents with them, rarest first; a linked document shares
     at least s of them, so it has one of the first size - s + 1 (prefix filter). Values of one document only come
-    first and are in no list, so a document that shares fewer than s values is in none. ``first`` marks the shorter
-    prefix that is enough for the smaller one of two sets. As the frequent values stand last, a common passage puts a
-    document in a list only if it makes up most of the document.
+    first and are in no list, so a document that shares fewer than s values is in none. ``at`` is a value's place in this
+    order, ``first`` marks the shorter prefix that is enough for the smaller one of two sets. As the frequent values stand
+    last, a common passage puts a document in a list only if it makes up most of the document.
     """
-    values = sketches.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    shared = sketches.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = values.join(shared, "value").groupBy("id", "n", "size").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("own"))
+    # Two texts may have one id, so the text's own number goes with it.
+    values = sketches.select("id", "own_key", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = values.join(shared, "value").groupBy("id", "own_key", "n", "size").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("own"))
     alone = F.col("size") - F.size("own")
     probe = F.col("size") - _least_shared(F.col("n"), True, whole) + 1 - alone
     index = F.col("size") - _least_shared(F.col("n"), False, whole) + 1 - alone
     # A set of up to WHOLE words is whole in its sketch; a larger one is cut to SKETCH values.
-    prefix = own.select("id", "n", probe.cast("int").alias("probe"), index.cast("int").alias("index"), "own").filter("probe > 0")
-    listed = prefix.select("id", "n", "index", F.posexplode(F.slice("own", F.lit(1), F.col("probe"))).alias("at", "x"))
-    return listed.select(F.col("x.value").alias("value"), "id", "n", (F.col("at") < F.col("index")).alias("first"))
+    prefix = own.select("id", "n", alone.alias("alone"), probe.cast("int").alias("probe"), index.cast("int").alias("index"), "own").filter("probe > 0")
+    listed = prefix.select("id", "n", "alone", "index", F.posexplode(F.slice("own", F.lit(1), F.col("probe"))).alias("at", "x"))
+    return listed.select(F.col("x.value").alias("value"), "id", "n", (F.col("alone") + F.col("at")).alias("at"), (F.col("at") < F.col("index")).alias("first"))
 
 
 def _runs(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
@@ -101,9 +101,26 @@ def _runs(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield run
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs(a, b) whose texts are linked, by their full sets."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(column.to_pylist() for column in batch.columns), strict=True)
+            for run in _runs(rows):
+                block, found = _shingler().block([t.encode() for row in run for t in row[2:]]), []
+                for k, (one, other, *_) in enumerate(run):
+                    x, y, common = block.shared(2 * k, 2 * k + 1)
+                    if 100 * common >= PERCENT * (x + y - common):
+                        found.append((one, other))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    ready = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return ready.mapInArrow(compare, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs(a, b) whose Jaccard similarity reaches PERCENT: estimated on sketches, then counted on the full sets."""
-    spark = pairs.sparkSession
     side = sketches.select("id", "n", "sketch")
     both = pairs.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
     union = F.sort_array(F.array_union("s_a", "s_b"))
@@ -112,22 +129,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFr
     whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
     exact = F.size(F.array_intersect("s_a", "s_b")) * 100 >= F.size(union) * PERCENT
     likely = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & F.when(whole, exact).otherwise(shared >= SHARED)
-    pairs = written(spark, both.filter(likely).select("a", "b").distinct(), "near-pairs")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(column.to_pylist() for column in batch.columns), strict=True)
-            for block in _runs(rows):
-                sets = [np.unique(x) for x in _shingler().hashes([t.encode() for row in block for t in row[2:]])]
-                found = []
-                for (one, other, *_), x, y in zip(block, sets[::2], sets[1::2], strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                        found.append((one, other))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
-
-    ready = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return written(spark, ready.mapInArrow(compare, "a long, b long"), "near-links")
+    pairs = scratch.written(both.filter(likely).select("a", "b").distinct(), "pairs")
+    return scratch.written(_compared(pairs, texts), "links")
 
 
 def _first_pairs(listed: DataFrame) -> DataFrame:
@@ -140,28 +143,38 @@ def _first_pairs(listed: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def _open(rows: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of lists whose documents are in more than one component."""
-    spark = rows.sparkSession
     mixed = rows.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("value")
-    return written(spark, rows.join(written(spark, mixed, "near-mixed"), "value"), "near-open")
+    return scratch.written(rows.join(scratch.written(mixed, "mixed"), "value"), "open")
 
 
-def _apart(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of documents of different components that can still be linked, of those in rows.
 
     Whole sets of these documents take the place of their sketches: inverted lists of all their values, cut by the
-    prefix filter for the exact bound. A document with too many values that no other one has is in none of them.
+    prefix filter for the exact bound. A document with too many values that no other one has is in none of them. In each
+    list, the documents outside the list's largest component are held against all others. Of the values that two
+    documents share, the rarest stands at a place in the order of each: what stands before it is in one of the two only,
+    so with too much before it they can't be linked (positional filter for the sizes of the pair). That keeps apart what
+    has only a group's common text in common, as the differences of its members stand before that.
     """
-    spark = rows.sparkSession
-    parts = written(spark, rows.select("id", "part").distinct(), "near-parts")
+    parts = scratch.written(rows.select("id", "part").distinct(), "parts")
     left = texts.join(parts, "id", "left_semi").select(F.col("id").alias("doc_id"), "text")
-    sets = written(spark, document_sketches(left, None).select(F.col("doc_id").alias("id"), "n", "sketch"), "near-sets")
-    listed = _open(written(spark, _postings(sets, True).join(parts, "id"), "near-named"))
-    x, y = (listed.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "first", "part"))) for s in "xy")
-    may = F.col("first_x") & (F.col("part_x") != F.col("part_y")) & ((F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
-    may &= F.col("n_x") * 100 >= F.col("n_y") * PERCENT
-    return x.join(y, "value").filter(may).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    sets = document_sketches(left, None).select(F.col("doc_id").alias("id"), F.xxhash64("key").alias("own_key"), "n", "sketch")
+    sets = scratch.written(sets, "sets")
+    listed = _open(scratch.written(_postings(sets, True).join(parts, "id"), "named"), scratch)
+    largest = listed.groupBy("value", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
+    listed = scratch.written(listed.join(scratch.written(largest, "largest"), "value").withColumn("few", F.col("part") != F.col("most")).drop("most"), "sided")
+    x, y = (listed.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "part", "few"))) for s in "xy")
+    both = F.col("n_x") + F.col("n_y")
+    # The smallest intersection of linked sets of these sizes, in whole numbers.
+    least = F.floor((both * PERCENT + (PERCENT + 99)) / F.lit(PERCENT + 100)).cast("long")
+    may = (F.col("part_x") != F.col("part_y")) & (~F.col("few_y") | (F.col("id_x") < F.col("id_y")))
+    may &= F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * PERCENT
+    may &= (F.col("n_x") - F.col("at_x") >= least) & (F.col("n_y") - F.col("at_y") >= least)
+    pairs = x.filter("few_x").join(y, "value").filter(may)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -171,46 +184,55 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     case, white space between words; fewer words are one shingle). component_id is the smallest doc_id that links
     reach; kept says that it is the row's own.
 
-    1. One pass over the texts gives each document the size and a 128-bit key of its whole set and the 64 smallest
-       values of one hash function. Documents of one key are one class; only a class's smallest doc_id goes on.
+    1. One pass over the texts gives each document the size of its set, the SHA-256 of its words in order and the 64
+       smallest values of one hash function. Documents of the same words are one class; only a class's smallest doc_id
+       goes on.
     2. Inverted lists of the retained values, cut by the prefix filter (:func:`_postings`).
     3. Each document is compared with the smallest one in its lists and with a few drawn ones, one drawn by each list;
        components of these links. A group of near copies, whose members are not all linked with each other, comes
        together at a few comparisons a member, not at one a pair.
-    4. Documents that still share a list with another component get lists of their whole sets, and all pairs that
-       share one of these but no component are compared (:func:`_apart`): all that may be linked is either compared or
-       already in one component, so no link between components is lost.
-    5. Sketches of the union estimate the similarity; pairs that may reach it are counted on their full sets.
-
-    Shingles are compared by 64-bit hashes. Null and empty texts have no shingles and are linked with nothing. Rows of
-    one doc_id count as one document with the links of each. Rows with a null doc_id are linked with nothing and kept;
-    their component_id is null. Other columns of docs are ignored. An empty table gives an empty result.
+    4. Documents that still share a list with another component get lists of their whole sets, and the pairs of these
+       that share no component and pass the filters are compared (:func:`_apart`): all that may be linked is either
+       compared or already in one component, so no link between components is lost.
+    5. Sketches of the union estimate the similarity; pairs that may reach it are counted on their full sets, word for
+       word (:meth:`tidelog.llm.shingles.Block.shared`).
+
+    Null and empty texts have no shingles and are linked with nothing. Rows of one doc_id count as one document with
+    the links of each. Rows with a null doc_id are linked with nothing and kept; their component_id is null. Other
+    columns of docs are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    every = written(spark, document_sketches(docs), "near-sketches")
-    keyed = every.filter("doc_id is not null")
-    classes = written(spark, keyed.groupBy("set_key").agg(F.min("doc_id").alias("id")), "near-classes")
-    members = keyed.select("doc_id", "n", "set_key").join(classes, "set_key").select("doc_id", "n", "id")
-    own = keyed.filter("n > 0").withColumnRenamed("set_key", "own_key")
-    sketches = written(spark, own.join(classes, (F.col("own_key") == F.col("set_key")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "sketch"), "near-classes")
-
-    postings = written(spark, _postings(sketches), "near-postings")
+    scratch = Scratch(spark, "near")
+    every = scratch.written(document_sketches(docs), "sketches")
+    keyed = every.filter("doc_id is not null and n > 0")
+    classes = scratch.written(keyed.groupBy("key").agg(F.min("doc_id").alias("id")), "classes")
+    members = scratch.written(keyed.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "id"), "members")
+    own = keyed.filter(F.size("sketch") > 0).withColumnRenamed("key", "text_key").join(classes, (F.col("text_key") == F.col("key")) & (F.col("doc_id") == F.col("id")))
+    sketches = scratch.written(own.select("id", F.xxhash64("key").alias("own_key"), "n", "sketch"), "firsts")
+
+    postings = scratch.written(_postings(sketches), "postings")
     drawn = F.min_by("id", F.xxhash64("id", "value")).alias("drawn")
     lists = postings.groupBy("value").agg(F.min(F.when(F.col("first"), F.col("id"))).alias("head"), drawn, F.min("id").alias("low"), F.max("id").alias("high"))
-    lists = written(spark, lists.filter("head is not null and low < high").select("value", "head", "drawn"), "near-lists")
-    listed = written(spark, postings.join(lists, "value"), "near-listed")
+    lists = scratch.written(lists.filter("head is not null and low < high").select("value", "head", "drawn"), "lists")
+    listed = scratch.written(postings.join(lists, "value"), "listed")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty("text").alias("text")).join(listed.select("id").distinct(), "id", "left_semi")
-    texts = written(spark, texts, "near-texts")
+    texts = scratch.written(texts, "texts")
+    scratch.keep("sketches", "members", "firsts", "listed", "texts")
 
-    links = _verified(_first_pairs(listed), sketches, texts)
-    found = written(spark, connected_components(links), "near-components")
+    # A doc_id that several rows share may belong to several classes.
+    several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
+    same = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).filter("a < b").distinct()
+    links = scratch.written(same, "same").union(_verified(_first_pairs(listed), sketches, texts, scratch))
+    found = connected_components(links)
 
-    rows = listed.join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", "first", F.coalesce("component", "id").alias("part"))
-    rows = _open(written(spark, rows, "near-named"))
-    links = links.union(_verified(_apart(rows, texts), sketches, texts))
-    found = written(spark, connected_components(links), "near-components")
+    rows = listed.join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", "at", "first", F.coalesce("component", "id").alias("part"))
+    rows = _open(scratch.written(rows, "parted"), scratch)
+    links = links.union(_verified(_apart(rows, texts, scratch), sketches, texts, scratch))
+    found = connected_components(links)
+    scratch.keep("sketches", "members")
 
     result = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     result = result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    no_id = every.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return result.union(no_id)
+    alone = every.filter("doc_id is null or n = 0")
+    alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return result.union(alone)
