@@ -17,13 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import new_folder, written
+from tidelog.llm.shared import Scratch, new_folder, removed, written
 
 _EOL = b"\r\n"
 #: Archives have no clock of their own: what a run writes is the same whenever it runs.
 WARC_DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f6b1f5e-9a57-5d0b-8a44-0f5f0c6b7a10")
 _READ_BYTES = 1 << 20
+_PIECE_BYTES = 16 << 10
 #: Bytes of payload in one batch that a reader hands on.
 _BATCH_BYTES = 8 << 20
 
@@ -72,43 +73,47 @@ class _Unzipped:
     """Bytes of a file of gzip members or of plain records, read as they are needed."""
 
     def __init__(self, source):
-        self.source, self.held = source, b""
-        start = source.read(2)
-        self.unpack = zlib.decompressobj(31) if start == b"\x1f\x8b" else None
-        self.raw = start
+        self.source, self.held, self.at = source, bytearray(), 0
+        self.raw, self.raw_at = source.read(2), 0
+        self.unpack = zlib.decompressobj(31) if self.raw == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
-        raw = self.raw or self.source.read(_READ_BYTES)
-        self.raw = b""
-        if not raw:
-            return False
+        if self.raw_at == len(self.raw):
+            self.raw, self.raw_at = self.source.read(_READ_BYTES), 0
+            if not self.raw:
+                return False
+        if self.at > _READ_BYTES:
+            del self.held[: self.at]
+            self.at = 0
+        # zlib copies what is behind the end of a member, so it gets little at a time.
+        piece = self.raw[self.raw_at : self.raw_at + _PIECE_BYTES]
+        self.raw_at += len(piece)
         if self.unpack is None:
-            self.held += raw
+            self.held += piece
             return True
-        parts = [self.held]
-        while raw:
-            parts.append(self.unpack.decompress(raw))
-            raw = self.unpack.unused_data
-            if self.unpack.eof:
-                self.unpack = zlib.decompressobj(31)
-        self.held = b"".join(parts)
+        self.held += self.unpack.decompress(piece)
+        if self.unpack.eof:
+            self.raw_at -= len(self.unpack.unused_data)
+            self.unpack = zlib.decompressobj(31)
         return True
 
     def until(self, mark: bytes) -> bytes:
         """What stands before the next mark; empty at the end of the file."""
-        while (at := self.held.find(mark)) < 0:
+        seen = 0
+        while (found := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark) + 1)
             if not self._more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise ValueError("a record ends inside its header")
                 return b""
-        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        out, self.at = bytes(self.held[self.at : found]), found + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
+        while len(self.held) - self.at < n:
             if not self._more():
                 raise ValueError("a record is shorter than it says")
-        out, self.held = self.held[:n], self.held[n:]
+        out, self.at = bytes(self.held[self.at : self.at + n]), self.at + n
         return out
 
 
@@ -227,14 +232,12 @@ def assemble_captures(records: DataFrame) -> DataFrame:
     """
     rows = records.select("record_id", "concurrent_to", "warc_type", F.struct(*records.columns).alias("row"))
     answers = rows.filter(F.col("warc_type").isin("response", "revisit", "resource"))
-    out = answers.select(F.col("record_id").alias("capture_id"), F.col("row").alias("answer"))
     naming = answers.filter("concurrent_to is not null").select(F.col("record_id").alias("capture_id"), F.col("concurrent_to").alias("record_id"))
-    for kind in ("request", "metadata"):
-        own = rows.filter(F.col("warc_type") == kind)
-        linked = own.filter("concurrent_to is not null").select(F.col("concurrent_to").alias("capture_id"), "record_id", "row")
-        linked = linked.unionByName(own.join(naming, "record_id").select("capture_id", "record_id", "row"))
-        out = out.join(linked.groupBy("capture_id").agg(F.min_by("row", "record_id").alias(kind)), "capture_id", "left")
-    return out
+    own = rows.filter(F.col("warc_type").isin("request", "metadata"))
+    linked = own.filter("concurrent_to is not null").select(F.col("concurrent_to").alias("capture_id"), "record_id", "warc_type", "row")
+    linked = linked.unionByName(own.join(naming, "record_id").select("capture_id", "record_id", "warc_type", "row"))
+    kinds = [F.min_by("row", F.when(F.col("warc_type") == kind, F.col("record_id"))).alias(kind) for kind in ("request", "metadata")]
+    return answers.select(F.col("record_id").alias("capture_id"), F.col("row").alias("answer")).join(linked.groupBy("capture_id").agg(*kinds), "capture_id", "left")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -250,9 +253,11 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     result.
     """
     spark = pages.sparkSession
-    folder = new_folder(spark, "warc")
+    folder, scratch = new_folder(spark, "warc"), Scratch(spark, "warc")
     records = read_archives(spark, write_archives(pages, folder), folder)
-    records = records.withColumn("payload_length", F.length("payload").cast("long")).drop("payload")
+    # As a table the records are parsed once, and joins go by their true size.
+    records = scratch.written(records.withColumn("payload_length", F.length("payload").cast("long")).drop("payload"), "records")
+    removed(spark, folder)
     small = assemble_captures(records).select(
         F.element_at("metadata.fields", "page-id").cast("long").alias("page_id"),
         F.coalesce("answer.http_length", "answer.payload_length").alias("payload_bytes"),
@@ -261,8 +266,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
         F.col("answer.record_id").alias("record_id"),
         F.col("answer.refers_to").alias("refers_record"),
     )
-    small = written(spark, small, "warc-captures")
+    small = scratch.written(small, "captures")
     revisits, responses = small.filter("record_type = 'revisit'"), small.filter("record_type <> 'revisit'")
-    named = written(spark, responses.groupBy(F.col("record_id").alias("refers_record")).agg(F.max("page_id").alias("refers_to")), "warc-responses")
+    named = scratch.written(responses.groupBy(F.col("record_id").alias("refers_record")).agg(F.max("page_id").alias("refers_to")), "responses")
+    scratch.keep("captures", "responses")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).union(revisits.join(named, "refers_record", "left").select(columns))
