@@ -13,11 +13,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tidelog.llm import units as unit_table
 from tidelog.llm import warc
-from tidelog.llm.byte_bpe import Encoder, bpe_digest, bpe_tokens, units
+from tidelog.llm.byte_bpe import Encoder, bpe_digest, bpe_tokens
 from tidelog.llm.queries import queries
 from tidelog.llm.shared import new_folder, table
 from tidelog.llm.token_files import CHUNK_IDS, PlaneReader, PlaneWriter, UnitEncoder, read_token_files, token_file_digest, write_token_files
+from tidelog.llm.units import units
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -156,6 +158,34 @@ def test_added_tokens_in_texts_keep_their_ids(make):
         start += len(whole)
 
 
+def test_tables_of_units_forget(monkeypatch, library, tokenizer):
+    monkeypatch.setattr(unit_table, "TABLE_UNITS", 40)
+    texts = [noise(n) for n in range(1, 900, 3)]
+    one, other = Encoder(RANKS, public_tokenizers.PATTERN), UnitEncoder(TOKENIZER)
+    for at in range(0, len(texts), 9):
+        part = texts[at : at + 9]
+        assert [np.frombuffer(x, "<u4").tolist() for x in one.encode(part)] == [library.encode_ordinary(t) for t in part]
+        assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(part)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(other.table.names) <= 40 + sum(len(units(t)) for t in part)
+
+
+def test_other_patterns_and_pre_tokenizers_take_whole_texts(tmp_path, library):
+    texts = TEXTS + [noise(n) for n in range(1, 200, 7)]
+    pattern = r"\w+ |\W|\w+"
+    own = Encoder(RANKS, pattern)
+    assert own.table is None
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [other.encode_ordinary(t) for t in texts]
+    from tokenizers import pre_tokenizers
+
+    changed = Tokenizer.from_file(TOKENIZER)
+    changed.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    changed.save(str(tmp_path / "changed.json"))
+    own = UnitEncoder(str(tmp_path / "changed.json"), added_tokens=True)
+    assert not own.by_units
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [changed.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # WARC
 
 

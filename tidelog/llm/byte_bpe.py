@@ -6,7 +6,6 @@ import base64
 import functools
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import text_or_empty
+from tidelog.llm.units import BYTE_LEVEL_PATTERN, UnitTable, ids_of_texts, text_blocks
 
-#: Texts can be cut before a blank that stands before one of these: no match of a byte-level BPE pattern goes over it.
-_INNER_BLANK = re.compile(r" (?![^\W_])")
-_CUT = re.compile(r" (?=[^\W_])")
-#: Units whose ids a worker keeps; beyond that it forgets all and begins again.
-CACHE_UNITS = 800_000
 #: Bytes of new words that are replayed together.
 REPLAY_BYTES = 16 << 20
+#: Bytes of text that are cut into units together.
+BLOCK_BYTES = 8 << 20
 _NONE = np.uint32(0xFFFFFFFF)
 
 
-def units(text: str) -> list[str]:
-    """Pieces of text whose encodings, one after another, are the text's; all but the first lack the blank before them."""
-    return _CUT.split(text) if _INNER_BLANK.search(text) else text.split(" ")
-
-
 class MergeReplay:
     """Encodes words by replaying the merges of a rank table over all of them at once.
 
@@ -150,49 +142,43 @@ def _tables(path: str) -> MergeReplay:
 
 
 class Encoder:
-    """Encodes and decodes texts in one worker; keeps what it has found for units of text, up to a bound."""
+    """Encodes and decodes texts in one worker.
+
+    With the pattern of byte-level BPE, texts are cut into units whose ids are kept in a table of bounded size
+    (:class:`tidelog.llm.units.UnitTable`); with another pattern each text is one unit, and none is kept.
+    """
 
     def __init__(self, ranks_path: str, pattern: str):
         self.replay = _tables(ranks_path)
         self.matches = regex.compile(pattern).findall
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.table = UnitTable(self._learn) if pattern == BYTE_LEVEL_PATTERN else None
         self.lengths = np.fromiter(map(len, self.replay.tokens), np.int64, self.replay.size)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.flat = np.frombuffer(b"".join(self.replay.tokens), np.uint8)
 
-    def _learn(self, new: list[str], known: dict[str, bytes], blank: str) -> None:
-        """Enters the ids of new units, each encoded with the blank before it."""
-        at = 0
-        while at < len(new):
-            block, size = [], 0
-            while at < len(new) and (size < REPLAY_BYTES or not block):
-                block.append(new[at])
-                size += len(new[at])
-                at += 1
-            parts = [self.matches(blank + unit) for unit in block]
+    def _learn(self, new: pa.Array, after_blank: bool) -> tuple[np.ndarray, np.ndarray]:
+        found = self._replayed([" " + unit for unit in new.to_pylist()] if after_blank else new.to_pylist())
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _replayed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, of a block's distinct words at a time."""
+        out, at = [], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (size < REPLAY_BYTES or stop == at):
+                size += len(texts[stop])
+                stop += 1
+            parts = [self.matches(text) for text in texts[at:stop]]
             words = list({w for part in parts for w in part})
             ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
-            for unit, part in zip(block, parts, strict=True):
-                known[unit] = b"".join(map(ids.__getitem__, part))
+            out += [b"".join(map(ids.__getitem__, part)) for part in parts]
+            at = stop
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > CACHE_UNITS:
-            self.first, self.later = {}, {}
-        first: set[str] = set()
-        later: set[str] = set()
-        for text in texts:
-            own = units(text)
-            first.add(own[0])
-            later.update(own[1:])
-        self._learn([unit for unit in first if unit not in self.first], self.first, "")
-        self._learn([unit for unit in later if unit not in self.later], self.later, " ")
-        out = []
-        for text in texts:
-            own = units(text)
-            out.append(self.first[own[0]] + b"".join(map(self.later.__getitem__, own[1:])))
-        return out
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        return ids_of_texts(*self.table.encode(texts)) if self.table is not None else self._replayed(texts.to_pylist())
 
     def decode(self, ids: bytes) -> bytes:
         x = np.frombuffer(ids, "<u4")
@@ -207,18 +193,14 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, pattern)
 
 
-def text_blocks(texts: list[str], most: int) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters, at least one text each."""
-    block: list[str] = []
-    size = 0
-    for text in texts:
-        if block and size + len(text) > most:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
+def _encoded(batches: Iterator[pa.RecordBatch], own: Encoder) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Blocks of the batches' first column with the ids of their texts."""
+    for batch in batches:
+        done = 0
+        for block in text_blocks(batch.column(1), BLOCK_BYTES):
+            ids = own.encode(block)
+            yield batch.column(0).slice(done, len(block)), ids
+            done += len(block)
 
 
 def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -227,7 +209,7 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Every text is encoded whole: each match of the pattern on its own, by the ranks in the file, without special
     tokens. A task gathers the distinct words of a block of its rows and replays the merges over all of them
     (:class:`MergeReplay`); no shuffle is needed, as words don't depend on each other, and what a worker keeps is
-    bounded by CACHE_UNITS. decoded is made from the ids alone.
+    bounded (:class:`tidelog.llm.units.UnitTable`). decoded is made from the ids alone.
 
     Null text counts as empty: no ids, no bytes. Row order, repeated rows and null ids don't matter. Other columns of
     docs are ignored. The rank file must be readable at its path on every executor.
@@ -235,13 +217,9 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for batch in batches:
-            done = 0
-            for block in text_blocks(batch.column(1).to_pylist(), REPLAY_BYTES):
-                ids = own.encode(block)
-                part = [batch.column(0).slice(done, len(block)), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
-                done += len(block)
-                yield pa.RecordBatch.from_arrays(part, ["doc_id", "ids", "decoded"])
+        for doc_ids, ids in _encoded(batches, own):
+            part = [doc_ids, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(part, ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids binary, decoded binary")
@@ -252,18 +230,14 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for batch in batches:
-            done = 0
-            for block in text_blocks(batch.column(1).to_pylist(), REPLAY_BYTES):
-                ids = own.encode(block)
-                part = [
-                    batch.column(0).slice(done, len(block)),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
-                ]
-                done += len(block)
-                yield pa.RecordBatch.from_arrays(part, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for doc_ids, ids in _encoded(batches, own):
+            part = [
+                doc_ids,
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
+            ]
+            yield pa.RecordBatch.from_arrays(part, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,6 +16,7 @@ A reader can go to any id through the index and reads one chunk at a time.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import uuid
@@ -23,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.byte_bpe import CACHE_UNITS, text_blocks, units
-from tidelog.llm.shared import new_folder, text_or_empty, written
+from tidelog.llm.shared import new_folder, removed, text_or_empty, written
+from tidelog.llm.units import UnitTable, ids_of_texts, parts_of, text_blocks
 
 MAGIC = b"TIDEPLN1"
 CHUNK_IDS = 1 << 16
@@ -39,8 +41,8 @@ _LEVEL = 3
 _JOINED_UNITS = 4096
 #: Marks that end a word; an apostrophe may begin a token with letters, so it is none.
 _MARKS = ".,;:!?*#$%&|"
-#: Characters of text whose new units are gathered at a time.
-_BLOCK_CHARS = 8 << 20
+#: Bytes of text that are cut into units together.
+_BLOCK_BYTES = 8 << 20
 
 
 def _planes(values: np.ndarray) -> list[bytes]:
@@ -154,7 +156,9 @@ class UnitEncoder:
     """Encodes texts with the tokenizers library; ids of units of text that were seen before are looked up.
 
     New units of a block of texts go to the library joined, as many calls on single ones take longer; the lengths of
-    the tokens, in bytes, lead each id back to its unit.
+    the tokens, in bytes, lead each id back to its unit. What is kept is bounded
+    (:class:`tidelog.llm.units.UnitTable`). That holds for byte-level BPE with its own pattern and without a normalizer;
+    with any other tokenizer, all texts go to the library whole.
 
     With ``added_tokens``, as the library has it by itself, a text that holds one of the tokenizer's added tokens goes
     to the library whole, so that the token keeps its own id; else it is text as any other.
@@ -165,78 +169,74 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.by_units = made["normalizer"] is None and by_bytes.items() <= (made["pre_tokenizer"] or {}).items() and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         # Units hold no added token, but joined ones might by chance.
         self.tokenizer.encode_special_tokens = True
         # A byte-level vocabulary writes each byte as one character.
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())])
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn_after_blank(self, units_after_blank: set[str]) -> None:
-        """Enters new ones of these units: those of a word and closing marks are made of the two, which never merge."""
-        made, new = [], set()
-        for unit in units_after_blank:
-            if unit not in self.later:
-                word = unit.rstrip(_MARKS)
-                if word != unit and word.isalpha():
-                    made.append((unit, word, unit[len(word) :]))
-                else:
-                    new.add(unit)
-        new |= {word for _, word, _ in made if word not in self.later}
-        self._encode_after_blank(list(new))
-        self._learn_first({marks for *_, marks in made})
-        for unit, word, marks in made:
-            self.later[unit] = self.later[word] + self.first[marks]
-
-    def _learn_first(self, found: set[str]) -> None:
-        """Enters new ones of these units, which have no blank before them."""
-        new = [unit for unit in found if unit not in self.first]
-        for unit, known in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.first[unit] = np.array(known.ids, "<u4").tobytes()
-
-    def _encode_after_blank(self, new: list[str]) -> None:
+        self.table = UnitTable(self._learn)
+
+    def _learn(self, new: pa.Array, after_blank: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units; those of a word and closing marks are made of the two, which never merge."""
+        if not after_blank:
+            return self._each(new)
+        words = pc.utf8_rtrim(new, _MARKS)
+        made = pc.and_(pc.less(pc.binary_length(words), pc.binary_length(new)), pc.utf8_is_alpha(words))
+        coded = pc.if_else(made, words, new).dictionary_encode()
+        over = np.where(made.to_numpy(zero_copy_only=False), pc.binary_length(new).to_numpy() - pc.binary_length(words).to_numpy(), 0)
+        ends = np.frombuffer(new.buffers()[1], np.int64)[new.offset + 1 :][: len(new)]
+        tails = parts_of(np.frombuffer(new.buffers()[2], np.uint8), ends - over, over)
+        marks = pa.LargeStringArray.from_buffers(len(new), pa.py_buffer(np.concatenate(([0], np.cumsum(over)))), pa.py_buffer(tails)).dictionary_encode()
+        ids, counts = self._after_blanks(coded.dictionary)
+        mark_ids, mark_counts = self._each(marks.dictionary)
+        word, mark = coded.indices.to_numpy(), marks.indices.to_numpy()
+        starts = np.stack(((np.cumsum(counts) - counts)[word], len(ids) + (np.cumsum(mark_counts) - mark_counts)[mark]), axis=1)
+        lengths = np.stack((counts[word], mark_counts[mark]), axis=1)
+        return parts_of(np.concatenate((ids, mark_ids)), starts.ravel(), lengths.ravel()), lengths.sum(axis=1)
+
+    def _each(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        return np.array([k for ids in found for k in ids], "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _after_blanks(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units with a blank before them, many in one call."""
+        parts, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
         for at in range(0, len(new), _JOINED_UNITS):
-            part = new[at : at + _JOINED_UNITS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            unit_ends = np.cumsum([len(unit.encode()) + 1 for unit in part])
+            part = new.slice(at, _JOINED_UNITS)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+            unit_ends = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False) + 1)
             token_ends = np.cumsum(self.lengths[ids])
-            stops = (4 * (np.searchsorted(token_ends, unit_ends) + 1)).tolist()
-            flat = ids.tobytes()
-            if stops[-1] != len(flat) or not np.array_equal(token_ends[np.searchsorted(token_ends, unit_ends)], unit_ends):
+            places = np.searchsorted(token_ends, unit_ends)
+            if places[-1] != len(ids) - 1 or not np.array_equal(token_ends[places], unit_ends):
                 raise ValueError("the tokens of joined units do not end where the units do")
-            self.later.update(zip(part, [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+            parts.append(ids)
+            counts.append(np.diff(places + 1, prepend=0))
+        return np.concatenate(parts), np.concatenate(counts)
 
-    def _encode_whole(self, text: str) -> bytes:
+    def _encode_whole(self, texts: list[str], added: bool) -> list[bytes]:
         # A second tokenizer would take as much memory again.
-        self.tokenizer.encode_special_tokens = False
+        self.tokenizer.encode_special_tokens = not added
         try:
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         finally:
             self.tokenizer.encode_special_tokens = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > CACHE_UNITS:
-            self.first, self.later = {}, {}
-        whole = {k for k, text in enumerate(texts) if any(token in text for token in self.added)}
-        first: set[str] = set()
-        later: set[str] = set()
-        for k, text in enumerate(texts):
-            if k not in whole:
-                own = units(text)
-                first.add(own[0])
-                later.update(own[1:])
-        self._learn_after_blank(later)
-        self._learn_first(first)
-        out = []
-        for k, text in enumerate(texts):
-            if k in whole:
-                out.append(self._encode_whole(text))
-            else:
-                own = units(text)
-                out.append(self.first[own[0]] + b"".join(map(self.later.__getitem__, own[1:])))
-        return out
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_units:
+            return self._encode_whole(texts.to_pylist(), bool(self.added))
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return ids_of_texts(*self.table.encode(texts))
+        cut = iter(ids_of_texts(*self.table.encode(texts.filter(pa.array(~whole)))) if not whole.all() else [])
+        uncut = iter(self._encode_whole(texts.filter(pa.array(whole)).to_pylist(), True))
+        return [next(uncut if k else cut) for k in whole.tolist()]
 
 
 @functools.cache
@@ -269,7 +269,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 sink = store.open_output_stream(path)
                 writer = PlaneWriter(sink)
             ids = iter(batch.column(0).to_pylist())
-            for block in text_blocks(batch.column(1).to_pylist(), _BLOCK_CHARS):
+            for block in text_blocks(batch.column(1), _BLOCK_BYTES):
                 for tokens in encoder.encode(block):
                     writer.add(next(ids), tokens + end)
         if sink is not None:
@@ -316,8 +316,16 @@ def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> Dat
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Writes token-id files and returns what they hold: doc_id, start, n_tokens, ids_crc32."""
+    """Writes token-id files, reads them back and returns what they hold: doc_id, start, n_tokens, ids_crc32.
+
+    Rows, order, nulls and repeats are as :func:`write_token_files` has them: a null or empty text has the end id alone,
+    a text of any length is one document over as many chunks as it needs, and each of rows that repeat a doc_id has its
+    own start. An empty table gives no rows. The files are removed when the digests are a table.
+    """
     spark = docs.sparkSession
     folder = new_folder(spark, "token-files")
     shards = write_token_files(docs, tokenizer_path, end_id, folder)
-    return read_token_files(spark, shards, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = read_token_files(spark, shards, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = written(spark, found, "token-digests")
+    removed(spark, folder)
+    return found
