@@ -14,9 +14,23 @@ def with_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
     return users.join(roles.select("roleId", F.col("name").alias("roleName"), "roles"), "roleId")
 
 
+# What counts as an e-mail address.
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+
+
 def may(users: DataFrame, roles: DataFrame, right: Column) -> DataFrame:
-    """Users whose role has a right."""
-    return with_roles(users, roles).filter(F.array_contains("roles", right))
+    """Active users whose account is an e-mail address and whose role has a right."""
+    return with_roles(users.filter((F.col("active") == 1) & F.col("account").rlike(EMAIL)), roles).filter(F.array_contains("roles", right))
+
+
+def logged_in(users: DataFrame, roles: DataFrame, account: str, password: str) -> DataFrame:
+    """The active user of an account and password, with the role."""
+    return with_roles(users.filter((F.col("account") == account) & (F.col("password") == password) & (F.col("active") == 1)), roles)
+
+
+def logged_in_by(users: DataFrame, account: str, kind: str) -> DataFrame:
+    """The active user of an account of a kind, as another service has named it; without a password."""
+    return users.filter((F.col("account") == account) & (F.col("type") == kind) & (F.col("active") == 1))
 
 
 def account_matches(users: DataFrame, pattern: str) -> DataFrame:
@@ -32,7 +46,9 @@ def matched_rules(log: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
     """
     wanted = rules.filter(F.array_contains("when", kind))
     if kind == "system":
-        return log.crossJoin(F.broadcast(wanted.drop("channel", "topics", "when")))
+        # Each row with each rule, through one constant key: Spark broadcasts the rules only where it knows them to be few.
+        rules_of_all = wanted.drop("channel", "topics", "when").withColumn("_all", F.lit(1))
+        return log.withColumn("_all", F.lit(1)).join(rules_of_all, "_all").drop("_all")
     topic = F.size("topics") == 0 if kind == "dlq" else (F.size("topics") == 0) | F.array_contains("topics", F.col("topic"))
     return log.join(wanted.drop("when"), "channel").filter(topic).drop("topics")
 

@@ -44,7 +44,7 @@ def _chain(rows: Iterator[pd.DataFrame], ttl_us: int) -> Iterator[pd.DataFrame]:
     key, until = None, None
     for part in rows:
         decisions = []
-        for own, us, unlock in zip(part["key"], part["us"], part["unlock"], strict=True):
+        for *own, us, unlock in zip(part["absent"], part["key"], part["us"], part["unlock"], strict=True):
             if own != key:
                 key, until = own, None
             if unlock:
@@ -55,7 +55,7 @@ def _chain(rows: Iterator[pd.DataFrame], ttl_us: int) -> Iterator[pd.DataFrame]:
                 decisions.append("accepted")
             else:
                 decisions.append("rejected")
-        yield part[["key", "us", "seq"]].assign(decision=decisions)
+        yield part[["key", "us", "seq"]].assign(key=part["key"].mask(part["absent"]), decision=decisions)
 
 
 def greedy_admission(events: DataFrame, key: Column, ttl_us: int, unlock: Column | None = None) -> DataFrame:
@@ -63,10 +63,10 @@ def greedy_admission(events: DataFrame, key: Column, ttl_us: int, unlock: Column
 
     Acceptance hangs on earlier acceptance, so it is no window function. Rows are dealt by key and sorted inside their
     partition; the decision is a scan with one number of state, so a hot key needs time but no memory. A time of 0
-    never ends. Rows of ``unlock`` end the lock and are no messages. Null keys are one key of their own.
+    never ends. Rows of ``unlock`` end the lock and are no messages. Null keys are one key of their own, apart from empty ones.
     """
-    rows = events.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), "us", "seq", (F.lit(False) if unlock is None else F.coalesce(unlock, F.lit(False))).alias("unlock"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", "us", "seq")
+    rows = events.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), key.isNull().alias("absent"), "us", "seq", (F.lit(False) if unlock is None else F.coalesce(unlock, F.lit(False))).alias("unlock"))
+    ordered = rows.repartition("key", "absent").sortWithinPartitions("absent", "key", "us", "seq")
     return ordered.mapInPandas(lambda parts: _chain(parts, ttl_us), f"key string, {_CHAIN}, decision string")
 
 

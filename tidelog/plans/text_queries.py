@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec, keys, text
+from tidelog.operators.admin import EMAIL
 from tidelog.plans.registry import query
 from tidelog.sources.views import MSG_SQL, TIME_FORMAT, messages
 
@@ -131,13 +132,12 @@ def relative_time(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", text.relative_time(seconds, F.left("addTime", F.lit(10))).alias("age"))
 
 
-@query(
-    f"""with {MSG_SQL}, t as (select seq, cast(seq as bigint) * seq * priority b from msg)
-    select seq, case when b = 0 then '0 Bytes' when b >= 1073741824 then printf('%.2f', floor(b / 10737418.24 + 0.5) / 100) || ' GB' when b >= 1048576 then printf('%.2f', floor(b / 10485.76 + 0.5) / 100) || ' MB'
-    when b >= 1024 then printf('%.2f', floor(b / 10.24 + 0.5) / 100) || ' KB' else printf('%.2f', b::double) || ' Bytes' end as size from t where b < 1099511627776"""
-)
+_BYTE_STEPS = "".join(f" when b >= {1024**k} then printf('%.2f', floor(b / {1024**k}.0 * 100 + 0.5) / 100) || ' {unit}'" for k, unit in reversed(list(enumerate(("KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB"), 1))))
+
+
+@query(f"with {MSG_SQL}, t as (select seq, cast(seq as hugeint) * seq * priority b from msg) select seq, case when b = 0 then '0 Bytes'{_BYTE_STEPS} else printf('%.2f', b::double) || ' Bytes' end as size from t")
 def byte_format(spark, sf_dir):
-    """Sizes of all messages; a decimal, as a bigint product overflows from ids of 3.1e8 on. The SQL stops under 1 TB."""
+    """Sizes of all messages; a decimal, as a bigint product overflows from ids of 3.1e8 on."""
     seq = F.col("seq").cast("decimal(19,0)")
     rows = messages(spark, sf_dir).select("seq", (seq * seq * F.col("priority")).alias("b"))
     return rows.select("seq", text.byte_text(F.col("b")).alias("size"))
@@ -196,15 +196,11 @@ def message_decode_str(spark, sf_dir):
     return _decoded(messages(spark, sf_dir).select("seq", codec.from_text_map(_text_map()).alias("m")))
 
 
-#: Letters, digits and a few marks before the sign; labels between dots after it.
-_EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
-
-
-@query(f"with {MSG_SQL}, e as (select seq, case seq % 3 when 0 then id || '@' || topic || '.org' when 1 then id || '@' || topic else id || ' x@' || topic || '.org' end email from msg) select seq, email, regexp_matches(email, '{_EMAIL}') as valid from e")
+@query(f"with {MSG_SQL}, e as (select seq, case seq % 3 when 0 then id || '@' || topic || '.org' when 1 then id || '@' || topic else id || ' x@' || topic || '.org' end email from msg) select seq, email, regexp_matches(email, '{EMAIL}') as valid from e")
 def email_valid(spark, sf_dir):
     third = F.col("seq") % 3
     email = F.when(third == 0, F.concat("id", F.lit("@"), "topic", F.lit(".org"))).when(third == 1, F.concat("id", F.lit("@"), "topic")).otherwise(F.concat("id", F.lit(" x@"), "topic", F.lit(".org")))
-    return messages(spark, sf_dir).select("seq", email.alias("email")).withColumn("valid", F.col("email").rlike(_EMAIL))
+    return messages(spark, sf_dir).select("seq", email.alias("email")).withColumn("valid", F.col("email").rlike(EMAIL))
 
 
 @query()

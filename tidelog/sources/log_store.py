@@ -10,12 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_FOLDER = "file:///tmp/checkpoints/tidelog"
 
 
+def store_of(spark: SparkSession, path: str):
+    """The path as Hadoop has it, and the store that holds it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors reach: that in ``spark.checkpoint.dir``."""
+    """A folder that the driver and all executors reach: that in ``spark.checkpoint.dir``, in the default store where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         return FALLBACK_FOLDER
-    return (named if ":/" in named else f"file://{named}").rstrip("/")
+    path, store = store_of(spark, named)
+    return store.makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

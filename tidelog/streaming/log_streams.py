@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidelog.sources.log_store import new_folder
+from tidelog.sources.log_store import new_folder, store_of
 
 _EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
-    """New event files of a folder as a stream; a batch is bounded by its number of files."""
+    """New event files of a folder as a stream; a batch is bounded by its number of files.
+
+    The table is one file ``events.parquet`` of the folder, several ``events*.parquet``, or a folder of part files of
+    that name.
+    """
+    path, store = store_of(spark, f"{folder}/events.parquet")
+    if store.exists(path) and store.getFileStatus(path).isDirectory():
+        return spark.readStream.schema(_EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/events.parquet")
     return spark.readStream.schema(_EVENT).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
@@ -48,12 +55,16 @@ def move_log(stream: DataFrame, label: str = "moved-log") -> DataFrame:
 def admitted(stream: DataFrame, key: Column, ttl_us: int) -> DataFrame:
     """(key, us, seq, decision) of a stream with us and seq: accepted unless the key was accepted within the time before.
 
-    State is one number a key: the time until which it is held. A batch's rows of a key are decided in time order.
+    State is two numbers a key: the time until which it is held and that of its last row. A batch's rows of a key are
+    decided in time order. Batches must come in the time order of a key's rows, as a log is written: a batch with a row
+    before one that is already decided stops the stream, as its decisions would hang on how files were dealt to batches.
     """
 
     def decide(own: tuple[str], parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else None
+        until, last = state.get if state.exists else (None, None)
         rows = pd.concat(list(parts)).sort_values(["us", "seq"])
+        if last is not None and rows["us"].iloc[0] < last:
+            raise ValueError(f"rows of key {own[0]} came out of order; give a batch more files")
         decisions = []
         for us in rows["us"].tolist():
             if until is None or us >= until:
@@ -61,11 +72,11 @@ def admitted(stream: DataFrame, key: Column, ttl_us: int) -> DataFrame:
                 decisions.append("accepted")
             else:
                 decisions.append("rejected")
-        state.update((until,))
+        state.update((until, int(rows["us"].iloc[-1])))
         yield pd.DataFrame({"key": own[0], "us": rows["us"], "seq": rows["seq"], "decision": decisions})
 
     keyed = stream.select(key.cast("string").alias("key"), "us", "seq")
-    return keyed.groupBy("key").applyInPandasWithState(decide, "key string, us long, seq long, decision string", "until long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(decide, "key string, us long, seq long, decision string", "until long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def release_due(stream: DataFrame, now_us: int, label: str = "delayed") -> tuple[DataFrame, DataFrame]:
