@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from tidelog.llm import secret_scan as secrets
 from tidelog.llm.decontamination import ItemIndex, find_items, needed
-from tidelog.llm.language_id import fit_languages, identify_languages, text_features, train
+from tidelog.llm.language_id import MODEL_BYTES, MOST_FAMILIES, fit_languages, identify_languages, sample_of, text_features, train
 from tidelog.llm.license_scan import NOT_WORD, PHRASES, TEMPLATES, _needed, _template_words, license_scan
 from tidelog.llm.secret_scan import find_secrets, secret_scan
 from tidelog.llm.shared import table
@@ -29,6 +31,60 @@ def test_language_accuracy_on_what_was_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def margins_by_hand(model, text):
+    """Over the bytes of the text, one after another, from the weights alone."""
+    data = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())) + b" "
+    total, n = model.bias.astype(float).copy(), max(1, len(data) - 3)
+    for k in range(n):
+        three = int.from_bytes(data[k : k + 3], "little") * 2654435761 % 2**32 >> 17
+        four = int.from_bytes(data[k : k + 4], "little") * 2246822519 % 2**32 >> 17
+        total += (model.weights[three >> 15 - model.bits].astype(float) + model.weights[(four >> 15 - model.bits) + (1 << model.bits)]) / n
+    return total
+
+
+def decided_by_hand(model, margins):
+    def winner(names):
+        odds = {a: {b: 0.0 for b in names if b != a} for a in names}
+        for d, m in zip(model.decisions, margins, strict=True):
+            if d.over in odds and d.under in odds[d.over]:
+                odds[d.over][d.under] = 1 / (1 + math.exp(-d.slope * m))
+                odds[d.under][d.over] = 1 - odds[d.over][d.under]
+        best = max(names, key=lambda a: (sum(p > 0.5 for p in odds[a].values()), sum(odds[a].values())))
+        return best, min(odds[best].values(), default=1.0)
+
+    family, outer = winner(list(model.families))
+    language, inner = winner(model.families[family])
+    return language, outer * inner
+
+
+def test_language_decisions_follow_from_the_weights(spark):
+    docs = table(spark, SF, "documents")
+    model = train(docs)
+    texts = [r["text"] for r in docs.filter("text is not null and length(text) < 1500").orderBy("doc_id").limit(25).collect()] + ["é", "a", "ab cd"]
+    for text, language, score in zip(texts, *model.predict(texts), strict=True):
+        named, odds = decided_by_hand(model, margins_by_hand(model, text))
+        assert language == named and abs(score - odds) < 1e-5
+
+
+def test_two_hundred_labels_stay_within_the_bytes_of_a_model():
+    rng = random.Random(4)
+    sample, texts = [], {}
+    for label in range(200):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)]
+        texts[f"x{label:03d}"] = " ".join(words)
+        sample += [(f"x{label:03d}", *text_features(" ".join(rng.choices(words, k=20)))) for _ in range(3)]
+    model = fit_languages(sample)
+    assert model.weights.nbytes <= MODEL_BYTES and len(model.families) <= MOST_FAMILIES and sorted(sum(model.families.values(), [])) == sorted(texts)
+    named, _ = model.predict(list(texts.values()))
+    assert sum(a == b for a, b in zip(named, texts, strict=True)) >= 190
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('ab cd ', id) as text", "if(id % 100 = 0, 'de', 'en') as lang")
+    counts = Counter(x[0] for x in sample_of(docs, 50, 1000))
+    assert counts == {"de": 50, "en": 50}
+
+
 def test_language_without_letters(make):
     texts = {1: "the other thing", 2: "das andere Ding", 3: "une autre chose", 4: None, 5: "", 6: "12 .. ²", 7: "é"}
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(make(list(texts.items()), {1: "en", 2: "de", 3: "fr"})).collect()}
@@ -228,6 +284,26 @@ def test_literals():
     assert literals("The key = to all; see https://x.org/token: done") == []
 
 
+def test_literals_in_calls_blocks_sums_and_long_strings():
+    assert literals('A = "Zx81qLmn0Pq"\nB = "Yw72pKlm9Oq"\ndb_passphrase = A + B') == ["Zx81qLmn0Pq", "Yw72pKlm9Oq"]
+    assert literals("pwd:\n  kind: plain\n  value: Zx81qLmn0Pq\nother:\n  value: Zx81qLmn0Pq") == ["Zx81qLmn0Pq"]
+    assert literals("pwd:\r\n  value: 'Zx81qLmn0Pq'\r\n") == ["Zx81qLmn0Pq"]
+    assert literals("pwd:\nvalue: Zx81qLmn0Pq") == []
+    assert literals('conf.get( "pwd", "Zx81qLmn0Pq")') == ["Zx81qLmn0Pq"]
+    assert literals('pwd = """Zx81qLmn0Pq"""') == ["Zx81qLmn0Pq"]
+    assert literals(f"x['a'] = 1; pwd['{'k' * 90}'] = 'Zx81qLmn0Pq'") == ["Zx81qLmn0Pq"]
+    assert literals(f"pwd: {'T' * 90} = 'Zx81qLmn0Pq'") == ["Zx81qLmn0Pq"]
+    for text in ("a[" * 100_000, "pwd:\n" * 50_000, '"""' * 70_000 + "pwd=", "pwd = " + "a + " * 50_000, "pwd:\n" + "  k: x\n" * 50_000):
+        literals(text)  # in time in proportion to the text
+    assert all(0 <= s.score <= 1 for s in find_secrets("auth_token = 'aB3$aB3$xY7&zW9!'"))
+
+
+def test_secrets_of_empty_tables_and_repeated_rows(make):
+    assert secret_scan(make([])).count() == 0
+    found = secret_scan(make([(None, "pwd = 'Zx81qLmn0Pq'"), (1, "pwd = 'Zx81qLmn0Pq'"), (1, "pwd = 'Zx81qLmn0Pq'"), (2, None)])).collect()
+    assert sorted((r["doc_id"] or 0, r["spans"]) for r in found) == [(0, "literal:7:18"), (1, "literal:7:18"), (1, "literal:7:18"), (2, "")]
+
+
 def test_literals_of_names_given_more_than_once_and_over_many_names():
     assert literals('x = ""\nx = "Zx81qLmn0Pq"\npassword = x') == ["Zx81qLmn0Pq"]
     assert literals('a.x = "color"\nb.x = "Zx81qLmn0Pq"\npassword = x') == ["Zx81qLmn0Pq"]

@@ -40,6 +40,8 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = md5_
     order = F.char_length(text_or_empty("text")).cast("decimal(10,0)") * F.lit(_SHIFT) - F.col("doc_id").cast("decimal(20,0)")
     rows = docs.select("doc_id", F.char_length(text_or_empty("text")).alias("n_points"), order.alias("rank"), normal.alias("normal"))
     hashed = rows.select("doc_id", "n_points", "rank", "normal", content_hash(F.col("normal")).alias("h"), F.sha2("normal", 256).alias("text_sha256"))
+    # A table of the digests: a join on them would make them anew for its filter and for its keys.
+    digests = written(spark, hashed.drop("normal", "n_points"), "exact-digests")
     groups = hashed.groupBy("h", "text_sha256", "normal").agg(
         F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best_rank"), F.max(F.when(F.col("rank").isNotNull(), F.col("n_points"))).alias("best_points")
     )
@@ -47,6 +49,6 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = md5_
     groups = written(spark, groups.select("h", "text_sha256", "group_size", "best_rank", kept_id.cast("long").alias("keep_id")), "exact-groups")
     if groups.groupBy("h", "text_sha256").count().filter("count > 1").limit(1).count():
         raise ValueError("two different texts agree in the content hash and in SHA-256")
-    return hashed.join(groups, ["h", "text_sha256"]).select(
+    return digests.join(groups, ["h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("rank").eqNullSafe(F.col("best_rank")).alias("kept"), "text_sha256"
     )

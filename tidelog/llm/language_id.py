@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import text_or_empty
@@ -31,6 +31,10 @@ FAMILIES = {
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 #: Hashed features of three and of four bytes each.
 _BUCKETS = 1 << 15
+#: Bytes of a model's weights. With more labels, and so more decisions, features share buckets to keep within it.
+MODEL_BYTES = 64 << 20
+#: Families that are no more are kept as they are; with more, labels of no known family are put together by likeness.
+MOST_FAMILIES = 16
 #: Bytes of text whose features are summed at a time.
 _BLOCK_BYTES = 1 << 20
 _LETTERS = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
@@ -42,18 +46,33 @@ def has_letter(text: str) -> bool:
 
 
 def _normal(text: str) -> bytes:
-    """The text in lower case with one blank for whatever stands between letters, and at both ends."""
-    return b" " + b" ".join(text.lower().encode(errors="replace").translate(_LETTERS).split()) + b" "
+    """The text in lower case with one blank for whatever stands between letters, and at both ends; four bytes at least."""
+    return (b" " + b" ".join(text.lower().encode(errors="replace").translate(_LETTERS).split()) + b" ").ljust(4, b"\0")
 
 
 def _features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the three and the four bytes that begin at each place; those of the last places go over the end."""
+    """Buckets of the three and the four bytes that begin at each place; those of the last places go over the end.
+
+    A model with fewer buckets takes the upper bits of these (:func:`_fold`).
+    """
     x = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     three = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16)
     four = three | x[3:] << np.uint32(24)
     return (three * np.uint32(2654435761) >> np.uint32(17)).astype(np.int64), (four * np.uint32(2246822519) >> np.uint32(17)).astype(np.int64) + _BUCKETS
 
 
+def _fold(at: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of 15 bits, the second half of which are those of four bytes, as buckets of fewer bits."""
+    return ((at % _BUCKETS) >> (15 - bits)) + (at // _BUCKETS << bits)
+
+
+def _folded(at: np.ndarray, share: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    if bits == 15:
+        return at, share
+    found, back = np.unique(_fold(at, bits), return_inverse=True)
+    return found, np.bincount(back, share)
+
+
 def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and the share of each, which add up to 2."""
     data = _normal(text)
@@ -74,8 +93,8 @@ class Decision(NamedTuple):
 class LanguageModel:
     """Separators as columns of one weight table: first those between families, then those inside them."""
 
-    def __init__(self, languages: list[str], families: dict[str, list[str]], decisions: list[Decision], weights: np.ndarray, bias: np.ndarray):
-        self.languages, self.families, self.decisions = languages, families, decisions
+    def __init__(self, languages: list[str], families: dict[str, list[str]], decisions: list[Decision], weights: np.ndarray, bias: np.ndarray, bits: int = 15):
+        self.languages, self.families, self.decisions, self.bits = languages, families, decisions, bits
         self.weights, self.bias = weights.astype(np.float32), bias
 
     def margins(self, texts: list[str]) -> np.ndarray:
@@ -94,6 +113,8 @@ class LanguageModel:
 
     def _sums(self, data: bytes) -> np.ndarray:
         three, four = _features(data)
+        if self.bits < 15:
+            three, four = _fold(three, self.bits), _fold(four, self.bits)
         return self.weights[three] + self.weights[four]
 
     def _block(self, data: list[bytes]) -> np.ndarray:
@@ -170,22 +191,54 @@ def _slope(margins: np.ndarray, signs: np.ndarray) -> float:
     return slope
 
 
-def fit_languages(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
-    """Fits separators between families and between the languages of each, on (language, buckets, shares)."""
-    languages = sorted({x[0] for x in sample})
+def _families(languages: list[str], sample: list[tuple[str, np.ndarray, np.ndarray]]) -> dict[str, list[str]]:
+    """Known families and single labels; where that makes too many, single labels join the one of MOST_FAMILIES that is most like them."""
     families: dict[str, list[str]] = {}
     for language in languages:
         families.setdefault(_FAMILY_OF.get(language, language), []).append(language)
+    if len(families) <= MOST_FAMILIES:
+        return families
+    centres = {language: np.zeros(1 << 11) for language in languages}
+    for language, at, share in sample:
+        np.add.at(centres[language], _fold(at, 10), share)
+    for centre in centres.values():
+        centre /= np.linalg.norm(centre) + 1e-12
+    single = [name for name in families if name not in FAMILIES]
+    # Each new seed is the label that is least like all seeds so far.
+    seeds = [single[0]]
+    while len(seeds) < min(len(single), max(1, MOST_FAMILIES - len(families) + len(single))):
+        seeds.append(min((x for x in single if x not in seeds), key=lambda x: max(float(centres[x] @ centres[y]) for y in seeds)))
+    grouped = {name: own for name, own in families.items() if name in FAMILIES} | {f"like {x}": [x] for x in seeds}
+    # None gets much more than its share, as decisions inside a family grow with the square of its size.
+    most = -(-3 * len(single) // (2 * len(seeds)))
+    for language in single:
+        if language not in seeds:
+            room = [y for y in seeds if len(grouped[f"like {y}"]) < most]
+            grouped[f"like {max(room, key=lambda y: float(centres[language] @ centres[y]))}"].append(language)
+    return grouped
+
+
+def fit_languages(sample: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
+    """Fits separators between families and between the languages of each, on (language, buckets, shares)."""
+    languages = sorted({x[0] for x in sample})
+    families = _families(languages, sample)
     tasks = [(a, b, set(families[a]), set(families[b])) for a, b in itertools.combinations(families, 2)]
     tasks += [(a, b, {a}, {b}) for own in families.values() for a, b in itertools.combinations(own, 2)]
-    decisions, weights, biases = [], np.zeros((2 * _BUCKETS, len(tasks))), np.zeros(len(tasks))
+    bits = 15
+    while bits > 8 and (2 << bits) * len(tasks) * 4 > MODEL_BYTES:
+        bits -= 1
+    if (2 << bits) * len(tasks) * 4 > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} labels need {len(tasks)} decisions, which a model of {MODEL_BYTES} bytes can't hold")
+    sample = [(language, *_folded(at, share, bits)) for language, at, share in sample]
+    decisions, weights, biases = [], np.zeros((2 << bits, len(tasks)), np.float32), np.zeros(len(tasks))
     for k, (over, under, its, other) in enumerate(tasks):
         rows = [(at, share) for language, at, share in sample if language in its or language in other]
         signs = np.array([1.0 if language in its else -1.0 for language, *_ in sample if language in its or language in other])
-        weights[:, k], biases[k] = fit_svm(rows, signs, 2 * _BUCKETS)
-        margins = np.array([float(weights[at, k] @ share) + biases[k] for at, share in rows])
+        fitted, biases[k] = fit_svm(rows, signs, 2 << bits)
+        weights[:, k] = fitted
+        margins = np.array([float(fitted[at] @ share) + biases[k] for at, share in rows])
         decisions.append(Decision(over, under, _slope(margins, signs)))
-    return LanguageModel(languages, families, decisions, weights, biases)
+    return LanguageModel(languages, families, decisions, weights, biases, bits)
 
 
 def held_out() -> Column:
@@ -193,20 +246,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, all_rows: int = SAMPLE_ALL) -> LanguageModel:
-    """A model of docs(doc_id, text, lang), from a sample of the rows with a lang that are not held out.
+def sample_of(docs: DataFrame, per_language: int, all_rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, buckets, shares) of a sample of the rows of docs(doc_id, text, lang) with a lang that are not held out.
 
     The rows of each language are counted; of those with many, the ones with the smallest hash of their id are taken,
-    about ``per_language`` each and ``all_rows`` in all. Features are taken of whole texts on the executors, so what
-    comes to the driver is bounded by these numbers and the number of features. Fitting is deterministic.
+    ``per_language`` each at most and ``all_rows`` in all, or one each where there are more labels than that. Features
+    are taken of whole texts on the executors, so what comes to the driver is bounded by these numbers and the number of
+    features. Fitting is deterministic.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return fit_languages([])
+        return []
     each = max(1, min(per_language, all_rows // len(counts)))
-    share = F.create_map(*(F.lit(x) for language, n in sorted(counts.items()) for x in (language, min(1.0, each / n))))
-    taken = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    # A share of the ids by their hash, with more than enough rows; of these few, the first by the hash.
+    share = F.create_map(*(F.lit(x) for language, n in sorted(counts.items()) for x in (language, min(1.0, (1.5 * each + 40) / n))))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)))
+    some = rows.filter(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 53))
+    taken = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))).filter(F.col("place") <= each)
 
     def features(batches):
         for batch in batches:
@@ -218,11 +275,16 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, all_rows: in
     found = taken.select("lang", "text").mapInArrow(features, "lang string, buckets array<int>, shares array<float>").toArrow()
     sample = [(language.as_py(), at.values.to_numpy(), v.values.to_numpy().astype(float)) for language, at, v in zip(*found.columns, strict=True)]
     # Rows come in any order; the fit goes over them in one order.
-    return fit_languages(sorted(sample, key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes())))
+    return sorted(sample, key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, all_rows: int = SAMPLE_ALL) -> LanguageModel:
+    """A model of docs(doc_id, text, lang), from a bounded sample (:func:`sample_of`)."""
+    return fit_languages(sample_of(docs, per_language, all_rows))
 
 
 def language_of(model: LanguageModel, docs: DataFrame) -> Column:
-    """A column (lang_pred, score) of docs' column text by the model, which is broadcast: its size is fixed."""
+    """A column (lang_pred, score) of docs' column text by the model, which is broadcast; its weights take MODEL_BYTES at most."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")

@@ -48,15 +48,24 @@ LEAST_LITERAL = 8
 _HINTS = ("pass", "secret", "token", "api")
 _NAME_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "private", "bearer", "signature")
 # Runs are possessive and begin at the edge of a word, so that long words and lines take time in proportion to them.
-_STRING = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
+_LONG_STRING = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''"
+_STRING = _LONG_STRING + r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 _PAIR = re.compile(
-    rf"""(?<![\w.\-])(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*+)(?P=quote)(?:\[[^\]\n]{{0,64}}+\])?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]]{{0,64}}+[ \t]*+=|:=|=>|(?<![=!<>])=(?!=)|:(?!//))[ \t]*+
-    (?:(?P<strings>(?:{_STRING})(?:[ \t]*+\+?[ \t]*+(?:{_STRING}))*+)|(?P<bare>[^\s,;"'`<>(){{}}\[\]]++))""",
+    rf"""(?<![\w.\-])(?P<quote>["']?)(?P<name>[A-Za-z_][\w.\-]*+)(?P=quote)(?:\[[^\[\]\n]*+\])?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.\[\]]*+[ \t]*+=|:=|=>|(?<![=!<>])=(?!=)|:(?!//))[ \t]*+
+    (?:(?P<strings>(?:{_STRING})(?:[ \t]*+\+?[ \t]*+(?:{_STRING}))*+)|(?P<bare>[^\s,;"'`<>(){{}}\[\]]++)(?P<more>(?:[ \t]*+\+[ \t]*+[A-Za-z_][\w.]*+)*+))""",
     re.VERBOSE | re.ASCII,
 )
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)(?:[ \t][^<>\n]*+)?>(?P<bare>[^<>\n]++)</(?P=name)>", re.ASCII)
 _FLAG = re.compile(r"(?<!\S)--(?P<name>[A-Za-z][\w\-]*+)[ \t]++(?:(?P<strings>" + _STRING + r")|(?P<bare>[^\s\-][^\s]*+))", re.ASCII)
+# A name and a literal as the first arguments of a call.
+_CALL = re.compile(r"\(\s*+(?P<quote>[\"'])(?P<name>[A-Za-z_][\w.\-]*+)(?P=quote)\s*+,\s*+(?P<strings>" + _STRING + ")", re.ASCII)
+# A line that opens a block of deeper lines, and a line of such a block that gives the block's name its value.
+_OPENING = re.compile(r"^(?P<indent>[ \t]*+)(?:-[ \t]++)?(?P<quote>[\"']?)(?P<name>[A-Za-z_][\w.\-]*+)(?P=quote)[ \t]*+:[ \t]*+\r?$", re.ASCII | re.MULTILINE)
+_VALUE = re.compile(r"(?:\r?\n(?P<indent>[ \t]++)(?:(?P<quote>[\"']?)(?P<key>[A-Za-z_][\w.\-]*+)(?P=quote)[ \t]*+:[ \t]*+(?:(?P<strings>" + _STRING + r")|(?P<bare>[^\s,;\"'`<>(){}\[\]]++))[^\n]*+))", re.ASCII)
+# Keys of a block that hold what its name stands for.
+VALUE_KEYS = ("value", "default", "data", "literal", "content", "plain", "text")
 _ONE_STRING = re.compile(_STRING)
+_NAMES = re.compile(r"[A-Za-z_][\w.]*")
 _REFERENCE = re.compile(r"\$?\{?(?:process\.env\.|os\.environ\.|env\.|self\.|this\.)?(?P<name>[A-Za-z_]\w*)\}?", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -96,22 +105,43 @@ def literal_score(literal: str) -> float:
         return 0.0
     entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal).values())
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4) * (0.4 + 0.3 * min(classes, 3)) if classes > 1 else 0.5 * min(1.0, entropy / 4)
+    return min(1.0, min(1.0, entropy / 4) * (0.4 + 0.3 * min(classes, 3))) if classes > 1 else 0.5 * min(1.0, entropy / 4)
 
 
 def pairs(text: str) -> list[Pair]:
-    """Names and literals in source and configuration syntax: assignments, mappings, elements and command flags."""
+    """Names and literals in source and configuration syntax: assignments, mappings, elements, flags, calls and blocks.
+
+    Names that are joined to a sum give a pair each. Strings of three quotes may go over lines.
+    """
     found = []
-    for pattern in (_PAIR, _ELEMENT, _FLAG):
+    for pattern in (_PAIR, _ELEMENT, _FLAG, _CALL):
         for match in pattern.finditer(text):
-            groups = match.groupdict()
-            if groups.get("strings"):
-                parts = list(_ONE_STRING.finditer(groups["strings"]))
-                literal = "".join(p[0][1:-1] for p in parts)
-                found.append(Pair(match["name"], literal, match.start("strings") + 1, match.end("strings") - 1, False))
-            else:
-                literal = match["bare"].rstrip(".,:")
-                found.append(Pair(match["name"], literal, match.start("bare"), match.start("bare") + len(literal), True))
+            found.append(_pair(match["name"], match))
+            if match.groupdict().get("more"):
+                found += [Pair(match["name"], m[0], m.start(), m.end(), True) for m in _NAMES.finditer(text, match.start("more"), match.end("more"))]
+    return found + _block_values(text)
+
+
+def _pair(name: str, match: re.Match) -> Pair:
+    if not match.groupdict().get("strings"):
+        literal = match["bare"].rstrip(".,:")
+        return Pair(name, literal, match.start("bare"), match.start("bare") + len(literal), True)
+    parts = [m[0] for m in _ONE_STRING.finditer(match["strings"])]
+    edges = [3 if len(p) >= 6 and p[:3] in ('"""', "'''") else 1 for p in parts]
+    literal = "".join(p[n:-n] for p, n in zip(parts, edges, strict=True))
+    return Pair(name, literal, match.start("strings") + edges[0], match.end("strings") - edges[-1], False)
+
+
+def _block_values(text: str) -> list[Pair]:
+    """Pairs of a block's name and the literal that one of VALUE_KEYS has in the lines right under it."""
+    found = []
+    for opening in _OPENING.finditer(text):
+        at = opening.end("name")
+        at = text.find("\n", at) - (text[opening.end() - 1 : opening.end()] == "\r")
+        while (line := _VALUE.match(text, at)) and len(line["indent"]) > len(opening["indent"]):
+            if line["key"].lower() in VALUE_KEYS:
+                found.append(_pair(opening["name"], line))
+            at = line.end()
     return found
 
 
@@ -173,7 +203,7 @@ def find_secrets(text: str) -> list[Span]:
     if "AKIA" in text:
         found += [Span("access", *m.span(), None, 1.0) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     found += [Span("hex", *m.span(), None, 1.0) for m in HEX.finditer(text)]
-    if ("=" in text or ":" in text or "</" in text or "--" in text) and any(x in lower for x in _NAME_HINTS):
+    if ("=" in text or ":" in text or "</" in text or "--" in text or "(" in text) and any(x in lower for x in _NAME_HINTS):
         found += literal_spans(text)
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.stop))
 
