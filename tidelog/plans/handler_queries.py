@@ -103,7 +103,8 @@ def login(spark, sf_dir):
     return admin.logged_in(_logins(spark, sf_dir), _roles(spark, sf_dir), "Customer#000000007", "pw7").select("id", "account", "roleName")
 
 
-@query(f"with {_USER_SQL} select id, account from usr where account = 'Customer#000000003' and type = 'AUTOMOBILE' and active = 1")
+@query(f"with {_USER_SQL} select id, account from usr where account = 'Customer#000000018' and id % 6 = 0 and active = 1")
 def login_by_type(spark, sf_dir):
     """An active account that logs in through another service."""
-    return admin.logged_in_by(_users(spark, sf_dir), "Customer#000000003", "AUTOMOBILE").select("id", "account")
+    users = _users(spark, sf_dir).withColumn("type", F.when(F.col("id") % 6 == 0, "google").otherwise(F.col("type")))
+    return admin.logged_in_by(users, "Customer#000000018", "google").select("id", "account")
