@@ -32,7 +32,7 @@ def test_pipeline_is_what_plain_code_makes(spark):
     named = {r["doc_id"]: r for r in identify_languages(docs).collect()}
     kept = {r["doc_id"]: r["text"] for r in docs.collect() if named[r["doc_id"]]["lang_pred"] != "und" and named[r["doc_id"]]["score"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     cut = lines_by_hand(list(kept.items()))
-    kept = {i: text for i, (text, _, removed) in cut.items() if not removed or text.strip(" ")}
+    kept = {i: text for i, (text, _, removed) in cut.items() if not removed or text.strip(" \t\n\x0b\x0c\r")}
     groups = components_by_hand(list(kept.items()))
     kept = {i: text for i, text in kept.items() if groups[i][2]}
     items = [shingle_set(r["text"]) for r in table(spark, SF, "benchmark").collect()]
@@ -56,3 +56,16 @@ def test_stages_take_odd_rows(make, spark):
         docs_out = stage(spark, docs, SF)
         assert docs_out.count() <= 5
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_decisions_on_odd_rows(make, spark, words):
+    stages = dict(corpus_pipeline.STAGES)
+    item = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    text = " ".join(words(40))
+    held = make([(None, f"{text} {item} {text}"), (None, text), (3, item), (3, text), (4, None)])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in stages["decontamination"](spark, held, SF).collect() if r["text"]) == [(0, text), (3, text)]
+    lines = "one\ntwo\nthree"
+    cut = stages["line_dedup"](spark, make([(1, lines), (2, f"\n{lines}\n\t"), (3, "\n\n\n"), (None, lines), (5, None)]), SF)
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in cut.collect()), key=repr) == [(0, lines), (1, lines), (3, "\n\n\n"), (5, None)]
+    near = stages["near_dedup"](spark, make([(1, text), (2, text), (None, text), (None, text), (5, None), (6, ""), (7, "")]), SF)
+    assert sorted(r["doc_id"] or 0 for r in near.collect()) == [0, 0, 1, 5, 6, 7]
