@@ -14,11 +14,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import text_or_empty
+from tidelog.llm.shared import releasing, text_or_empty
 from tidelog.llm.units import BYTE_LEVEL_PATTERN, UnitTable, ids_of_texts, text_blocks
 
 #: Bytes of new words that are replayed together.
-REPLAY_BYTES = 16 << 20
+REPLAY_BYTES = 2 << 20
 #: Bytes of text that are cut into units together.
 BLOCK_BYTES = 8 << 20
 _NONE = np.uint32(0xFFFFFFFF)
@@ -37,7 +37,7 @@ class MergeReplay:
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.single = np.zeros(256, np.int64)
+        self.single = np.zeros(256, np.int32)
         for byte in range(256):
             self.single[byte] = ranks[bytes([byte])]
         pairs: dict[int, int] = {}
@@ -54,7 +54,7 @@ class MergeReplay:
         self.backward = backward
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
@@ -65,9 +65,11 @@ class MergeReplay:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         n = int(ends[-1])
+        # 32 bits are enough for positions in REPLAY_BYTES; a longer word goes alone, with 64 bits where it needs them.
+        kind = np.int32 if n < 2**31 - 1 else np.int64
         symbol = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(words), dtype=kind), lengths)
+        following, before = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         following[ends - 1] = -1
         before[ends - lengths] = -1
         alive = np.ones(n, bool)
@@ -222,7 +224,7 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(part, ["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(encode, f"doc_id {kind}, ids binary, decoded binary")
+    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(lambda batches: releasing(encode(batches)), f"doc_id {kind}, ids binary, decoded binary")
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -240,4 +242,4 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(part, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda batches: releasing(digest(batches)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import text_or_empty
-from tidelog.llm.shingles import Shingler, blocks, shingle_set
+from tidelog.llm.shared import releasing, text_or_empty
+from tidelog.llm.shingles import blocks, shingle_set, shingler
 
 #: Share of an item's distinct shingles that a document must have, in percent.
 PERCENT = 75
@@ -21,11 +20,6 @@ ITEM_BYTES = 32 << 20
 _TABLE_BITS = 20
 
 
-@cache
-def _shingler() -> Shingler:
-    return Shingler()
-
-
 def needed(n: int) -> int:
     """Shingles of a set of n that a document must have."""
     return math.ceil(PERCENT * n / 100)
@@ -44,7 +38,7 @@ class ItemIndex:
         self.items = items
         values, owners, self.sets = [], [], []
         for at, (_, text) in enumerate(items):
-            own = np.unique(np.concatenate(_shingler().hashes([text.encode()])))
+            own = np.unique(np.concatenate(shingler().hashes([text.encode()])))
             self.sets.append(own)
             if len(own):
                 largest = 2 ** len(own).bit_length() - 1
@@ -113,14 +107,15 @@ def find_items(docs: DataFrame, items: DataFrame, item_bytes: int = ITEM_BYTES)
             own = index.value
             for batch in batches:
                 ids, done, found = batch.column(0).to_pylist(), 0, []
-                for texts in blocks(batch.column(1).to_pylist()):
-                    for doc_id, text, places in zip(ids[done : done + len(texts)], texts, _shingler().hashes(texts), strict=True):
+                own.shingles.clear()
+                for texts in blocks(batch.column(1)):
+                    for doc_id, text, places in zip(ids[done : done + len(texts)], texts, shingler().hashes(texts), strict=True):
                         found += [(doc_id, own.items[at][0], n, shared, shared / n) for at, n, shared in own.search(text, places)]
                     done += len(texts)
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-        found = rows.mapInArrow(search, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+        found = rows.mapInArrow(lambda batches, search=search: releasing(search(batches)), "doc_id long, item_id long, n_item long, n_shared long, containment double")
         out = found if out is None else out.union(found)
     return out

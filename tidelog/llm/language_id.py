@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import text_or_empty
+from tidelog.llm.shared import releasing, text_or_empty
+from tidelog.llm.units import text_blocks
 
 UNKNOWN = "und"
 #: Rows that a model is fitted on: the bound for one language and for all together.
@@ -36,7 +37,7 @@ MODEL_BYTES = 64 << 20
 #: Families that are no more are kept as they are; with more, labels of no known family are put together by likeness.
 MOST_FAMILIES = 16
 #: Bytes of text whose features are summed at a time.
-_BLOCK_BYTES = 1 << 20
+_BLOCK_BYTES = 1 << 18
 _LETTERS = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in range(256))
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
@@ -272,7 +273,7 @@ def sample_of(docs: DataFrame, per_language: int, all_rows: int) -> list[tuple[s
             lists = [pa.array([x.astype(kind) for x in c], pa.list_(t)) for c, kind, t in zip(columns[1:], (np.int32, np.float32), (pa.int32(), pa.float32()), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *lists], ["lang", "buckets", "shares"])
 
-    found = taken.select("lang", "text").mapInArrow(features, "lang string, buckets array<int>, shares array<float>").toArrow()
+    found = taken.select("lang", "text").mapInArrow(lambda batches: releasing(features(batches)), "lang string, buckets array<int>, shares array<float>").toArrow()
     sample = [(language.as_py(), at.values.to_numpy(), v.values.to_numpy().astype(float)) for language, at, v in zip(*found.columns, strict=True)]
     # Rows come in any order; the fit goes over them in one order.
     return sorted(sample, key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
@@ -283,14 +284,21 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, all_rows: in
     return fit_languages(sample_of(docs, per_language, all_rows))
 
 
+def _predicted(model: LanguageModel, texts: pa.Array) -> pa.Array:
+    languages, scores = [], []
+    for block in text_blocks(texts, _BLOCK_BYTES):
+        for out, found in zip((languages, scores), model.predict(block.to_pylist()), strict=True):
+            out += found
+    return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+
 def language_of(model: LanguageModel, docs: DataFrame) -> Column:
     """A column (lang_pred, score) of docs' column text by the model, which is broadcast; its weights take MODEL_BYTES at most."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": languages, "score": scores})
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return releasing(_predicted(shared.value, texts) for texts in batches)
 
     return predict(text_or_empty("text"))
 

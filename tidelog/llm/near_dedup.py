@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import connected_components
-from tidelog.llm.shared import Scratch, text_or_empty
-from tidelog.llm.shingles import BLOCK_BYTES, Shingler, blocks
+from tidelog.llm.shared import Scratch, releasing, text_or_empty
+from tidelog.llm.shingles import BLOCK_BYTES, blocks, shingler
 
 #: Smallest hash values kept of a document.
 SKETCH = 64
@@ -29,11 +28,6 @@ WHOLE = SKETCH * PERCENT // 100
 HEADS = 8
 
 
-@cache
-def _shingler() -> Shingler:
-    return Shingler()
-
-
 def document_sketches(docs: DataFrame, most: int | None = SKETCH) -> DataFrame:
     """(doc_id, n, key, sketch): size of the shingle set, SHA-256 of the words in order, the ``most`` smallest hashes in order.
 
@@ -44,7 +38,7 @@ def document_sketches(docs: DataFrame, most: int | None = SKETCH) -> DataFrame:
         for batch in batches:
             done = 0
             for texts in blocks(batch.column(1)):
-                block, sizes, sketches = _shingler().block(texts), [], []
+                block, sizes, sketches = shingler().block(texts), [], []
                 for k in range(len(block)):
                     own = np.unique(block.places(k).view(np.int64))
                     sizes.append(len(own))
@@ -56,7 +50,7 @@ def document_sketches(docs: DataFrame, most: int | None = SKETCH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n", "key", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n long, key binary, sketch array<long>")
+    return rows.mapInArrow(lambda batches: releasing(sketch(batches)), "doc_id long, n long, key binary, sketch array<long>")
 
 
 def _least_shared(n: Column, of_larger: bool, whole: bool) -> Column:
@@ -108,7 +102,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = zip(*(column.to_pylist() for column in batch.columns), strict=True)
             for run in _runs(rows):
-                block, found = _shingler().block([t.encode() for row in run for t in row[2:]]), []
+                block, found = shingler().block([t.encode() for row in run for t in row[2:]]), []
                 for k, (one, other, *_) in enumerate(run):
                     x, y, common = block.shared(2 * k, 2 * k + 1)
                     if 100 * common >= PERCENT * (x + y - common):
@@ -116,7 +110,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
     ready = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return ready.mapInArrow(compare, "a long, b long")
+    return ready.mapInArrow(lambda batches: releasing(compare(batches)), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:

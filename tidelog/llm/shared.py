@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,14 @@ class Scratch:
         removed(self.spark, self.folder)
 
 
+def releasing(rows: Iterator) -> Iterator:
+    """Rows of a task; at its end the worker gives back what Arrow holds of the task's batches, as workers live on."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

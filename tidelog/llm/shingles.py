@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -11,7 +12,7 @@ import xxhash
 
 SHINGLE_WORDS = 5
 #: Bytes of text that are hashed together; a longer text goes alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = bytes(32 if x in b"\x20\x09\x0a\x0b\x0c\x0d" else x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Odd multipliers, from a fixed seed, so that every run and worker hashes alike.
@@ -151,6 +152,12 @@ class Shingler:
         return [block.places(k) for k in range(len(block))]
 
 
+@functools.cache
+def shingler() -> Shingler:
+    """The one of this worker."""
+    return Shingler()
+
+
 def blocks(texts: Iterable, most: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     """Runs of encoded texts of about ``most`` bytes, at least one text each; texts are str or Arrow strings."""
     block: list[bytes] = []

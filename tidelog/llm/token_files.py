@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import new_folder, removed, text_or_empty, written
+from tidelog.llm.shared import new_folder, releasing, removed, text_or_empty, written
 from tidelog.llm.units import UnitTable, ids_of_texts, parts_of, text_blocks
 
 MAGIC = b"TIDEPLN1"
@@ -279,7 +279,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = written(spark, ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-shards")
+    shards = written(spark, ordered.mapInArrow(lambda batches: releasing(write(batches)), "shard long, path string, n_docs long, n_ids long"), "token-shards")
     # One row a file: as many as there were tasks.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
@@ -312,7 +312,7 @@ def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> Dat
                         yield rows(found)
 
     dealt = shards.repartition(max(1, shards.count()))
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return dealt.mapInArrow(lambda batches: releasing(read(batches)), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
