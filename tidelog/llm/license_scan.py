@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import text_or_empty
+from tidelog.llm.shared import text_or_empty, written
 
 # Phrases and their labels, as the contract of the query names them.
 PHRASES = {
@@ -64,13 +64,19 @@ def _width(template: str) -> int:
     return WINDOW_LENGTHS * len(_all_words(template))
 
 
-def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Rank of each word of the vocabulary by the number of documents with it, rarest first, ties by word.
+def spaced_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spaced) of each row of docs(doc_id, text): the words of whole texts with one blank between them."""
+    text = text_or_empty("text")
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _spaced(text).alias("spaced"))
+
+
+def token_order(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Rank of each word of the vocabulary by the number of rows(spaced) with it, rarest first, ties by word.
 
     Counted over all documents. The vocabulary is that of the templates, so one row a word comes back.
     """
-    words = F.array_intersect(F.split(_spaced(text_or_empty("text")), " "), F.lit(vocabulary))
-    counts = {r["word"]: r["n"] for r in docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = F.array_intersect(F.split("spaced", " "), F.lit(vocabulary))
+    counts = {r["word"]: r["n"] for r in rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {word: rank for rank, word in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
@@ -89,8 +95,8 @@ def _prefix_index(spark: SparkSession, templates: dict[str, str], order: dict[st
     return spark.createDataFrame(rows, "word string, label string, need int, width int, words array<string>")
 
 
-def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, text_hash, label, containment): labels of docs by windows that have that share of a template's words.
+def template_matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, text_hash, label, containment): labels of :func:`spaced_rows` by windows with that share of a template's words.
 
     A set-similarity join of word windows and templates. A window is as many consecutive words as WINDOW_LENGTHS
     lengths of the template, taken at each word of the whole text; ends of lines are like blanks. Words are ordered by
@@ -101,15 +107,15 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, con
     in full, and a text's best window counts. Templates are constants of this module or a parameter, so their side is
     broadcast.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     vocabulary = sorted({w for t in templates for w in _template_words(t)})
-    index = _prefix_index(spark, templates, token_order(docs, vocabulary), containment)
+    index = _prefix_index(spark, templates, token_order(rows, vocabulary), containment)
     prefix_words = sorted(r["word"] for r in index.select("word").distinct().collect())
     widest = max(map(_width, templates))
     # Blanks bound every word, so that a document without any prefix word is passed over by one pattern.
     any_prefix = f" (?:{'|'.join(prefix_words)}) "
-    rows = docs.select("doc_id", text_or_empty("text").alias("text")).filter(F.concat(F.lit(" "), _spaced(F.col("text")), F.lit(" ")).rlike(any_prefix))
-    texts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(_spaced(F.col("text")), " ").alias("all"))
+    some = rows.filter(F.concat(F.lit(" "), "spaced", F.lit(" ")).rlike(any_prefix))
+    texts = some.select("doc_id", "text_hash", F.split("spaced", " ").alias("all"))
     places = F.array_compact(F.transform("all", lambda w, i: F.when(w.isin(prefix_words), i)))
     # The words before a place, and those from it on, as far as windows reach.
     around = F.transform(
@@ -137,12 +143,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain
     smallest and largest start among them, null without any. labels are those of the phrases and of
     :func:`template_matches`. score is 1 with a phrase, else the largest containment found, else 0.
 
+    Texts are normalised once, into a table of their words, which the counts of words and the windows are read from.
+
     Null and empty texts have no words and no labels. Rows with a null doc_id get their own matches as any others;
     rows that repeat each other give equal results. Other columns of docs are ignored. An empty table gives an empty
     result.
     """
-    text = text_or_empty("text")
-    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _spaced(text).alias("spaced"))
+    base = spaced_rows(docs)
     base = base.withColumn("n_words", F.when(F.col("spaced") == "", F.lit(0)).otherwise(_blanks(F.col("spaced")) + 1).cast("long"))
     base = base.withColumn("padded", F.concat(F.lit(" "), "spaced", F.lit(" ")))
     counts, firsts, lasts, labels = [], [], [], []
@@ -156,13 +163,15 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contain
     base = base.select(
         "doc_id",
         "text_hash",
+        "spaced",
         "n_words",
         sum(counts[1:], counts[0]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"),
         F.greatest(*lasts).cast("long").alias("last_word"),
         F.sort_array(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"),
     )
-    found = template_matches(docs, templates, containment).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    base = written(docs.sparkSession, base, "license-words")
+    found = template_matches(base, templates, containment).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     found = found.withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
     joined = base.join(found, base["doc_id"].eqNullSafe(found["found_id"]) & (base["text_hash"] == found["found_hash"]), "left")
     every = F.sort_array(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
