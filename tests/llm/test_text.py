@@ -10,12 +10,12 @@ from collections import Counter
 
 import pytest
 from tidelog.llm import secret_scan as secrets
-from tidelog.llm.decontamination import ItemIndex, find_items, needed
+from tidelog.llm.decontamination import find_items, item_sketch, needed
 from tidelog.llm.language_id import MODEL_BYTES, MOST_FAMILIES, fit_languages, identify_languages, sample_of, text_features, train
 from tidelog.llm.license_scan import NOT_WORD, PHRASES, TEMPLATES, _needed, _template_words, license_scan
 from tidelog.llm.secret_scan import find_secrets, secret_scan
 from tidelog.llm.shared import table
-from tidelog.llm.shingles import shingle_set
+from tidelog.llm.shingles import shingle_set, shingler
 
 SF = "/root/testdata/sf0.001"
 
@@ -346,9 +346,8 @@ def test_items(make, spark, words):
             shared = len(wanted & shingle_set(doc or ""))
             if wanted and 100 * shared >= 75 * len(wanted):
                 expected.add((d, i, len(wanted), shared))
-    for item_bytes in (1 << 20, 300):
-        found = {tuple(r)[:4] for r in find_items(make(docs), table_, item_bytes).collect()}
-        assert found == expected
+    found = {tuple(r)[:4] for r in find_items(make(docs), table_).collect()}
+    assert found == expected
     assert find_items(make([]), table_).count() == find_items(make(docs), table_.limit(0)).count() == 0
 
 
@@ -356,10 +355,19 @@ def test_sketches_pass_over_nothing():
     """Any needed part of an item's shingles meets its sketch."""
     rng = random.Random(3)
     for n in (1, 2, 3, 4, 7, 8, 20, 63, 64):
-        text = " ".join(f"w{n}x{k}" for k in range(n + 4))
-        index = ItemIndex([(1, text)])
-        own = index.sets[0]
-        assert len(own) == n
+        text = " ".join(f"w{n}x{k}" for k in range(n + 4)).encode()
+        size, _, sketch, least = item_sketch(text)
+        own = set(shingler().hashes([text])[0].tolist())
+        assert size == len(own) == n
+        assert least >= 1
         for _ in range(50):
-            part = rng.sample(own.tolist(), needed(n))
-            assert set(part) & set(index.values.tolist())
+            part = rng.sample(sorted(own), needed(n))
+            assert len(set(part) & set(sketch.tolist())) >= least
+
+
+def test_items_with_null_and_repeated_rows_and_a_long_one(make, spark, words):
+    item, long_item = words(40), words(30_000)
+    docs = [(None, " ".join(words(9) + item)), (7, " ".join(item)), (7, " ".join(item)), (7, " ".join(words(50))), (8, " ".join(long_item + words(500)))]
+    rows = [(None, " ".join(item)), (1, " ".join(item)), (1, " ".join(item)), (2, " ".join(long_item)), (None, None)]
+    found = [(r["doc_id"], r["item_id"], r["n_item"]) for r in find_items(make(docs), spark.createDataFrame(rows, "item_id long, text string")).collect()]
+    assert sorted(found, key=repr) == sorted([(d, i, 36) for d in (None, 7, 7) for i in (None, 1, 1)] + [(8, 2, len(shingle_set(" ".join(long_item))))], key=repr)
