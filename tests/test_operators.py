@@ -61,3 +61,46 @@ def test_admission_over_batches_keeps_to_time_order(spark, tmp_path, ordered):
     else:
         with pytest.raises(Exception, match="out of order"):
             log_streams.run_to_end(log_streams.admitted(stream, F.col("user_id"), 10 * hour), "unordered").count()
+
+
+def _dealt(spark, tmp_path, name, hours):
+    """A folder of one event file for each (event_id, hour), in this order of arrival."""
+    import os
+
+    os.makedirs(f"{tmp_path}/{name}")
+    for k, hour in enumerate(hours):
+        _events(spark, 300).filter(F.col("event_id") == hour).coalesce(1).write.parquet(f"{tmp_path}/parts-{name}-{k}")
+        part = next(x for x in os.listdir(f"{tmp_path}/parts-{name}-{k}") if x.startswith("part-"))
+        os.rename(f"{tmp_path}/parts-{name}-{k}/{part}", f"{tmp_path}/{name}/events{k:03d}.parquet")
+        os.utime(f"{tmp_path}/{name}/events{k:03d}.parquet", (1_000_000_000 + k, 1_000_000_000 + k))
+    timed = log_streams.event_stream(spark, f"{tmp_path}/{name}", 1)
+    return timed.select(F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("seq"))
+
+
+def test_admission_forgets_keys_and_decides_the_same(spark, tmp_path):
+    hour = 3_600_000_000
+    hours = [0, 5, 11, 13, 50, 51, 105, 155, 160, 164, 170, 299]
+    stream = _dealt(spark, tmp_path, "gone", hours)
+    query = log_streams.admitted(stream, F.col("user_id"), 10 * hour).writeStream.format("memory").queryName("gone").trigger(availableNow=True).start()
+    query.awaitTermination()
+    until, expected = {}, {}
+    for at in hours:
+        expected[at] = "accepted" if at >= until.get(at % 5, -1) else "rejected"
+        if expected[at] == "accepted":
+            until[at % 5] = at + 10
+    assert {r["seq"]: r["decision"] for r in spark.table("gone").collect()} == expected
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_rows_behind_the_watermark_are_an_error(spark, tmp_path):
+    stream = _dealt(spark, tmp_path, "late", [100, 101, 1])
+    with pytest.raises(ValueError, match="out of order"):
+        log_streams.run_to_end(log_streams.admitted(stream, F.col("user_id"), 10), "late")
+
+
+def test_delayed_rows_are_released_or_wait(spark, tmp_path):
+    stream = _dealt(spark, tmp_path, "due", [4, 9, 2, 7])
+    due = F.when(F.col("seq") != 9, F.col("seq")).alias("due_us")
+    released, waiting = log_streams.release_due(stream.select("seq", due), 4)
+    assert sorted(r["seq"] for r in released.collect()) == [2, 4]
+    assert sorted(r["seq"] for r in waiting.collect()) == [7, 9]

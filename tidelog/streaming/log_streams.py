@@ -28,11 +28,17 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64)
 
 
 def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into a table, and reads that; restarts go on from the checkpoint."""
+    """Runs a stream over what is there into a table, and reads that; restarts go on from the checkpoint.
+
+    Rows behind a watermark, which Spark leaves out, are an error here: results would hang on how files were dealt to
+    batches.
+    """
     spark = stream.sparkSession
     path = new_folder(spark, label)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
+    if late := sum(own["numRowsDroppedByWatermark"] for p in query.recentProgress for own in p["stateOperators"]):
+        raise ValueError(f"{late} rows came out of order, behind the watermark; give a batch more files or more time")
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -52,15 +58,23 @@ def move_log(stream: DataFrame, label: str = "moved-log") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(stream.columns)
 
 
-def admitted(stream: DataFrame, key: Column, ttl_us: int) -> DataFrame:
+def admitted(stream: DataFrame, key: Column, ttl_us: int, late: str = "1 day") -> DataFrame:
     """(key, us, seq, decision) of a stream with us and seq: accepted unless the key was accepted within the time before.
 
     State is two numbers a key: the time until which it is held and that of its last row. A batch's rows of a key are
-    decided in time order. Batches must come in the time order of a key's rows, as a log is written: a batch with a row
-    before one that is already decided stops the stream, as its decisions would hang on how files were dealt to batches.
+    decided in time order. A key is forgotten once the watermark, ``late`` behind the latest row, has passed the time
+    until which it is held: a row that is still to come would be accepted either way. A time of 0 never ends, and its
+    keys stay.
+
+    Batches must come in the time order of a key's rows, as a log is written: a batch with a row before one that is
+    already decided stops the stream, as its decisions would hang on how files were dealt to batches. Rows more than
+    ``late`` behind are left out by Spark and counted; see :func:`run_to_end`.
     """
 
     def decide(own: tuple[str], parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until, last = state.get if state.exists else (None, None)
         rows = pd.concat(list(parts)).sort_values(["us", "seq"])
         if last is not None and rows["us"].iloc[0] < last:
@@ -73,31 +87,32 @@ def admitted(stream: DataFrame, key: Column, ttl_us: int) -> DataFrame:
             else:
                 decisions.append("rejected")
         state.update((until, int(rows["us"].iloc[-1])))
+        if ttl_us > 0:
+            state.setTimeoutTimestamp(until // 1000 + 1)
         yield pd.DataFrame({"key": own[0], "us": rows["us"], "seq": rows["seq"], "decision": decisions})
 
-    keyed = stream.select(key.cast("string").alias("key"), "us", "seq")
-    return keyed.groupBy("key").applyInPandasWithState(decide, "key string, us long, seq long, decision string", "until long, last long", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.select(key.cast("string").alias("key"), "us", "seq", F.timestamp_micros("us").alias("at")).withWatermark("at", late)
+    return keyed.groupBy("key").applyInPandasWithState(decide, "key string, us long, seq long, decision string", "until long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def release_due(stream: DataFrame, now_us: int, label: str = "delayed") -> tuple[DataFrame, DataFrame]:
-    """(released, waiting) of a stream with due_us: what is due by now is released, the rest waits for a later run.
+    """(released, waiting) of a stream with due_us: what is due by now is released, the rest waits.
 
-    What waits is a table that each batch writes anew beside the one before it, so that a batch can run again.
+    Each batch writes its own rows once, into a folder of its number, so that it can run again. What waits is a table
+    like any other: a later run with a later now filters it, and takes new rows from its own stream.
     """
     spark = stream.sparkSession
     path = new_folder(spark, label)
+    due = F.col("due_us") <= now_us
 
     def release(batch: DataFrame, number: int) -> None:
-        held = spark.read.schema(stream.schema).parquet(f"{path}/waiting/{number - 1}") if number else batch.limit(0)
-        every = held.unionByName(batch)
-        every.filter(F.col("due_us") <= now_us).write.mode("overwrite").parquet(f"{path}/released/batch={number}")
-        every.filter(F.col("due_us") > now_us).write.mode("overwrite").parquet(f"{path}/waiting/{number}")
+        # A missing due_us is never due and waits.
+        batch.withColumn("_due", F.coalesce(due, F.lit(False))).write.mode("overwrite").partitionBy("_due").parquet(f"{path}/rows/batch={number}")
 
     query = stream.writeStream.foreachBatch(release).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    read = spark.read.schema(stream.schema)
-    return read.parquet(f"{path}/released").select(stream.columns), read.parquet(f"{path}/waiting/{last}")
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch bigint, _due boolean").parquet(f"{path}/rows")
+    return rows.filter("_due").select(stream.columns), rows.filter("not _due").select(stream.columns)
 
 
 def depth_windows(stream: DataFrame, every: str, late: str) -> DataFrame:
