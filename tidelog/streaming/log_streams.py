@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tidelog.sources.log_store import new_folder, store_of
 
 _EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+#: How often the progress of a running stream is read.
+PROGRESS_SECONDS = 2
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
@@ -36,9 +38,13 @@ def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame
     spark = stream.sparkSession
     path = new_folder(spark, label)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows")
-    query.awaitTermination()
-    if late := sum(own["numRowsDroppedByWatermark"] for p in query.recentProgress for own in p["stateOperators"]):
-        raise ValueError(f"{late} rows came out of order, behind the watermark; give a batch more files or more time")
+    late, ended = {}, False
+    while not ended:  # Spark keeps the progress of a query's last batches only
+        ended = query.awaitTermination(PROGRESS_SECONDS)
+        for p in query.recentProgress:
+            late[p["batchId"]] = max(late.get(p["batchId"], 0), sum(own["numRowsDroppedByWatermark"] for own in p["stateOperators"]))
+    if any(late.values()):
+        raise ValueError(f"{sum(late.values())} rows came out of order, behind the watermark; give a batch more files or more time")
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
