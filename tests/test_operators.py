@@ -92,6 +92,21 @@ def test_admission_forgets_keys_and_decides_the_same(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
 
 
+def test_admission_decides_keys_in_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log_streams, "GROUPS", 3, raising=False)
+    hour = 3_600_000_000
+    stream = _dealt(spark, tmp_path, "grouped", [0, 24, 48])
+    # Each row stands for a row of each of 40 keys, and of a missing one; times differ by key.
+    spread = stream.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("us", F.col("us") + F.col("k") * hour)
+    named = F.when(F.col("k") < 40, F.concat(F.lit("k"), F.col("k")))
+    found = log_streams.admitted(spread.select("us", F.col("seq"), "k"), named, 30 * hour, "3 days")
+    query = found.writeStream.format("memory").queryName("grouped").trigger(availableNow=True).start()
+    query.awaitTermination()
+    expected = {(k, seq): "rejected" if seq == 24 else "accepted" for k in [*(f"k{k}" for k in range(40)), None] for seq in (0, 24, 48)}
+    assert {(r["key"], r["seq"]): r["decision"] for r in spark.table("grouped").collect()} == expected
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 def test_rows_behind_the_watermark_are_an_error(spark, tmp_path):
     stream = _dealt(spark, tmp_path, "late", [100, 101, 1])
     with pytest.raises(ValueError, match="out of order"):

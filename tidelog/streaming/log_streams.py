@@ -15,6 +15,8 @@ from tidelog.sources.log_store import new_folder, store_of
 _EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: How often the progress of a running stream is read.
 PROGRESS_SECONDS = 2
+#: Groups of keys that are decided together. A group's rows of a batch, and what is held of its keys, are in memory at once.
+GROUPS = 4096
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
@@ -67,38 +69,49 @@ def move_log(stream: DataFrame, label: str = "moved-log") -> DataFrame:
 def admitted(stream: DataFrame, key: Column, ttl_us: int, late: str = "1 day") -> DataFrame:
     """(key, us, seq, decision) of a stream with us and seq: accepted unless the key was accepted within the time before.
 
-    State is two numbers a key: the time until which it is held and that of its last row. A batch's rows of a key are
-    decided in time order. A key is forgotten once the watermark, ``late`` behind the latest row, has passed the time
-    until which it is held: a row that is still to come would be accepted either way. A time of 0 never ends, and its
-    keys stay.
+    State is two numbers a key: the time until which it is held and that of its last row. Keys are dealt by their hash to
+    GROUPS groups, which go to Python with their rows and state at once, as a call a key would cost more than its rows.
+    A batch's rows are decided in time order. A key is forgotten once the watermark, ``late`` behind the latest row, has
+    passed the time until which it is held, with its group or when its group next gets rows: a row that is still to come
+    would be accepted either way. A time of 0 never ends, and its keys stay.
 
     Batches must come in the time order of a key's rows, as a log is written: a batch with a row before one that is
     already decided stops the stream, as its decisions would hang on how files were dealt to batches. Rows more than
     ``late`` behind are left out by Spark and counted; see :func:`run_to_end`.
     """
 
-    def decide(own: tuple[str], parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+    def decide(own: tuple[int], parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        until, last = state.get if state.exists else (None, None)
+        held = {name: (until, last) for name, until, last in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(list(parts)).sort_values(["us", "seq"])
-        if last is not None and rows["us"].iloc[0] < last:
-            raise ValueError(f"rows of key {own[0]} came out of order; give a batch more files")
         decisions = []
-        for us in rows["us"].tolist():
+        for name, us in zip(rows["key"].tolist(), rows["us"].tolist(), strict=True):
+            until, last = held.get(name, (None, None))
+            if last is not None and us < last:
+                raise ValueError(f"rows of key {name} came out of order; give a batch more files")
             if until is None or us >= until:
                 until = us + ttl_us if ttl_us > 0 else 2**63 - 1
                 decisions.append("accepted")
             else:
                 decisions.append("rejected")
-        state.update((until, int(rows["us"].iloc[-1])))
-        if ttl_us > 0:
-            state.setTimeoutTimestamp(until // 1000 + 1)
-        yield pd.DataFrame({"key": own[0], "us": rows["us"], "seq": rows["seq"], "decision": decisions})
+            held[name] = until, int(us)
+        # Rows of the next batch are not behind the watermark of this one.
+        passed = state.getCurrentWatermarkMs() if ttl_us > 0 else 0
+        held = {name: x for name, x in held.items() if x[0] // 1000 + 1 > passed}
+        if held:
+            state.update(tuple(map(list, zip(*((name, *x) for name, x in held.items()), strict=True))))
+            if ttl_us > 0:
+                state.setTimeoutTimestamp(max(until for until, _ in held.values()) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": rows["key"], "us": rows["us"], "seq": rows["seq"], "decision": decisions})
 
     keyed = stream.select(key.cast("string").alias("key"), "us", "seq", F.timestamp_micros("us").alias("at")).withWatermark("at", late)
-    return keyed.groupBy("key").applyInPandasWithState(decide, "key string, us long, seq long, decision string", "until long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = keyed.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("group")
+    held = "keys array<string>, untils array<long>, lasts array<long>"
+    return grouped.applyInPandasWithState(decide, "key string, us long, seq long, decision string", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def release_due(stream: DataFrame, now_us: int, label: str = "delayed") -> tuple[DataFrame, DataFrame]:
