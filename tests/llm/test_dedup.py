@@ -13,6 +13,7 @@ from tidelog.llm.components import connected_components
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.line_dedup import cut_rows, line_dedup
 from tidelog.llm.near_dedup import near_dedup
+from tidelog.llm.shared import Scratch
 from tidelog.llm.shingles import Shingler, blocks, fold_words, shingle_set
 
 
@@ -229,5 +230,15 @@ def test_components(spark):
     assert found == expected
 
 
+def test_stars_and_no_links_take_no_steps(spark, monkeypatch):
+    made, write = [], Scratch.written
+    monkeypatch.setattr(Scratch, "written", lambda self, df, name: made.append(name) or write(self, df, name))
+    links = spark.createDataFrame([(1, 5), (7, 1), (1, 9), (20, 30)], "a long, b long")
+    assert {r["node"]: r["component"] for r in connected_components(links).collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 20: 20, 30: 20}
+    assert connected_components(links.limit(0)).count() == 0
+    # The links and the result of each.
+    assert len(made) == 4
+
+
 def test_prefixes_follow_the_bound():
     assert near.SKETCH * near.PERCENT // 100 == near.WHOLE

@@ -24,11 +24,19 @@ def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(joined.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, and none if it has larger ones."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x"))
+    nodes = ends.groupBy("x.node").agg(F.sum("x.up").alias("ups"), F.min("x.up").alias("least"))
+    # A node that is a smaller end somewhere has a least of 0.
+    return nodes.agg(F.count_if(F.expr("ups > 1 or (ups = 1 and least = 0)"))).first()[0] == 0
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links(a, b): component is the smallest node that can be reached.
 
-    Large-star and small-star steps take turns until the links don't change (Kiveris et al., "Connected Components in
-    MapReduce and Beyond"); then each node that isn't the smallest links to the smallest. Each step is two joins' worth
+    Large-star and small-star steps take turns until all links are stars (Kiveris et al., "Connected Components in
+    MapReduce and Beyond"): each node that isn't the smallest links to the smallest, and a step would change nothing. Each step is two joins' worth
     of shuffles over the links and never gathers the neighbours of a node. Nodes are whole numbers; null ends and links
     from a node to itself are ignored. Without links the result is empty. The result is a table; those of the steps are
     removed.
@@ -36,12 +44,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     scratch = Scratch(spark, "components")
     pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = scratch.written(pairs, "links"), None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark[0] == 0 or mark == before:
-            break
-        before = mark
+    now = scratch.written(pairs, "links")
+    while not _all_stars(now):
         large = scratch.written(_large_star(now, scratch), "links")
         now = scratch.written(_small_star(large, scratch), "links")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

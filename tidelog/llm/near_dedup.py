@@ -217,15 +217,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     same = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b")).filter("a < b").distinct()
     links = scratch.written(same, "same").union(_verified(_first_pairs(listed), sketches, texts, scratch))
-    found = connected_components(links)
+    parts = connected_components(links).toDF("id", "part")
 
-    rows = listed.join(found.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", "at", "first", F.coalesce("component", "id").alias("part"))
+    rows = listed.join(parts, "id", "left").select("value", "id", "n", "at", "first", F.coalesce("part", "id").alias("part"))
     rows = _open(scratch.written(rows, "parted"), scratch)
-    links = links.union(_verified(_apart(rows, texts, scratch), sketches, texts, scratch))
-    found = connected_components(links)
+    # Of the links between components only the components are left: their smallest nodes stand for them.
+    apart = _verified(_apart(rows, texts, scratch), sketches, texts, scratch)
+    for end in "ab":
+        apart = apart.join(parts.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    found = connected_components(scratch.written(apart, "between"))
     scratch.keep("sketches", "members")
 
-    result = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    part = F.coalesce("part", "id").alias("part")
+    result = members.join(parts, "id", "left").select("doc_id", "n", part).join(found.withColumnRenamed("node", "part"), "part", "left")
+    result = result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "part").alias("component_id"))
     result = result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     alone = every.filter("doc_id is null or n = 0")
     alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
